@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, quality, simhash, tokenstore
 from .common import table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -40,9 +41,29 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = tokenstore.write_store(docs, WORD_BPE, end_id=2)
+    width = store.manifest["dtype"]
+    rows = store.read(docs.select("doc_id"))
+    return rows.select(
+        F.col("key").alias("doc_id"),
+        "start",
+        F.expr(f"cast(octet_length(ids) div {int(width[2:])} as bigint)").alias("n_tokens"),
+        tokenstore.crc32_of("ids", width).alias("ids_crc32"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op8_simhash_links": op8_simhash_links,
+    "op9_token_store": op9_token_store,
 }
 
 ORACLES: dict[str, str] = {}
