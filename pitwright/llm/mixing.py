@@ -32,6 +32,8 @@ MOST = 2.0
 BUCKET = 20_000
 TOLERANCE = 1e-10
 MAX_STEPS = 60
+#: Lambdas are sought between minus and plus this.
+LIMIT = 50.0
 #: A lambda whose exponential is 0.
 NONE_AT_ALL = -1000.0
 #: Sources up to which their rates are broadcast; beyond it they are joined by a shuffle.
@@ -70,26 +72,28 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
 def balance(cells: DataFrame, targets: DataFrame, *, most: float = MOST) -> DataFrame:
     """(source, lambda) that meets the targets. cells: (source, prior, size), summed sizes of documents of one prior.
 
-    A Newton step changes lambda by miss / slope, at most by 1 either way, and by -1/2 where all rates are at `most`
-    and too much is taken. A source that can take no more stops, and one with a target of 0 gets rates of 0. State is
-    one row for each source, written each few steps.
+    A Newton step changes lambda by miss / slope. Where that leaves the bracket of lambdas known to take too little and
+    too much (rates stop rising at `most`), the middle of the bracket is taken. A source that can take no more stops,
+    and one with a target of 0 gets rates of 0. State is one row for each source, written each few steps.
     """
-    now = targets.select("source", "target", F.lit(0.0).alias("lam"), F.lit(False).alias("done"))
+    now = targets.select("source", "target", F.lit(0.0).alias("lam"), F.lit(-LIMIT).alias("low"), F.lit(LIMIT).alias("high"), F.lit(False).alias("done"))
     for step in range(1, MAX_STEPS + 1):
         rate = F.col("prior") * F.exp("lam")
         free = F.when(rate < most, rate * F.col("size")).otherwise(0.0)
         sums = (
             cells.alias("c")
             .join(now.alias("n"), F.col("c.source").eqNullSafe(F.col("n.source")))
-            .groupBy(F.col("n.source").alias("source"), "target", "lam", "done")
-            .agg(F.sum(F.least(rate, F.lit(most)) * F.col("size")).alias("got"), F.sum(free).alias("slope"))
+            .groupBy(F.col("n.source").alias("source"), "target", "lam", "low", "high", "done")
+            .agg(F.sum(F.least(rate, F.lit(float(most))) * F.col("size")).alias("got"), F.sum(free).alias("slope"))
         )
         miss = F.col("target") - F.col("got")
-        stuck = F.col("slope") <= 0
-        done = F.col("done") | (F.abs(miss) <= TOLERANCE * F.col("target")) | (stuck & (miss >= 0)) | (F.col("target") <= 0)
-        step_by = F.when(stuck, F.lit(-0.5)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(miss, F.col("slope")))))
-        lam = F.when(F.col("target") <= 0, F.lit(NONE_AT_ALL)).when(done, F.col("lam")).otherwise(F.col("lam") + step_by)
-        now = sums.select("source", "target", lam.alias("lam"), done.alias("done"))
+        done = F.col("done") | (F.abs(miss) <= TOLERANCE * F.col("target")) | ((F.col("slope") <= 0) & (miss >= 0)) | (F.col("target") <= 0)
+        low = F.when(miss > 0, F.col("lam")).otherwise(F.col("low"))
+        high = F.when(miss < 0, F.col("lam")).otherwise(F.col("high"))
+        newton = F.col("lam") + F.try_divide(miss, F.col("slope"))
+        inside = (newton > low) & (newton < high)
+        lam = F.when(F.col("target") <= 0, F.lit(NONE_AT_ALL)).when(done, F.col("lam")).when(inside, newton).otherwise((low + high) / 2)
+        now = sums.select("source", "target", lam.alias("lam"), low.alias("low"), high.alias("high"), done.alias("done"))
         if step % 4 == 0:
             now = checkpointed(now)
             if not now.where("not done").limit(1).count():
