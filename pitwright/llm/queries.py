@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality, simhash, tokenstore
+from . import bpe, chat, langid, license, mixing, quality, simhash, spotsigs, tokenstore
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,23 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    planted = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id bigint, turn bigint, role string, text string")
+    records = chat.gather(rows.unionByName(own))
+    out = chat.format_turns(chat.canonical(records)).select("conv_id", "formatted", "loss_spans")
+    read = out.withColumn("read", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    return read.select(
+        "conv_id",
+        F.size("read").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = quality.ledger(docs, keep=["doc_id"])
@@ -49,6 +66,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license.scan(docs).select(
+        "doc_id",
+        F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("license_sentences.id", ",").alias("sentence_ids"),
+        F.array_join(F.col("rules").cast("array<string>"), ",").alias("rules"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix_documents(docs)
@@ -73,13 +100,35 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = spotsigs.with_next(docs, lambda df: spotsigs.signatures(df, out_col="own"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
+    rows = rows.select("id", n.cast("bigint").alias("n_chars"), "own", "next_own", edited.alias("edited"))
+    rows = spotsigs.signatures(rows, text_col="edited", out_col="edit")
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint("own").alias("fingerprint"),
+        spotsigs.fingerprint("edit").alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("own"), F.col("edit")).alias("near_edited"),
+        spotsigs.likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language_id": op2_language_id,
+    "op3_chat_format": op3_chat_format,
     "op4_quality_rules": op4_quality_rules,
+    "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op8_simhash_links": op8_simhash_links,
     "op9_token_store": op9_token_store,
+    "op10_spotsigs": op10_spotsigs,
 }
 
 ORACLES: dict[str, str] = {}
