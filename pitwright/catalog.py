@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pitwright.plans import relational
+
+QUERIES: dict = {**relational.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES}
 FLAGSHIP = "m0_factor_decay"
