@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pitwright.plans import relational
+from pitwright.plans import domain, relational
 
-QUERIES: dict = {**relational.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES}
+QUERIES: dict = {**relational.QUERIES, **domain.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **domain.ORACLES}
 FLAGSHIP = "m0_factor_decay"

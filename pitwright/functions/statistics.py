@@ -11,6 +11,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NORMAL = NormalDist()
 EULER = 0.5772156649015329
@@ -44,7 +45,7 @@ def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, varianc
     return probabilistic_sharpe(sharpe, expected_max_sharpe(variance, trials), n, skew, kurtosis)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else NORMAL.cdf(v))
 

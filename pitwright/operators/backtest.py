@@ -60,7 +60,7 @@ def gross(weights: DataFrame, fills: DataFrame, prices: DataFrame, calendar: Dat
     return fills.select("strategy", "session_date").distinct().join(sums, ["strategy", "session_date"], "left").withColumns(zero)
 
 
-def net(weights: DataFrame, fills: DataFrame, prices: DataFrame, calendar: DataFrame, *, initial: float = 1_000_000.0, depository: float = 0.0) -> DataFrame:
+def net(weights: DataFrame, fills: DataFrame, prices: DataFrame, calendar: DataFrame, *, initial: float = 1_000_000.0, depository: float = 0.0, schedule: tuple[C.Epoch, ...] = C.SCHEDULE) -> DataFrame:
     """gross() with cost, net_return and equity; a strategy ends with the first session that leaves it nothing.
 
     A leg's cost depends on the equity of its day, so sessions are folded in order, one strategy a row: a list of
@@ -68,7 +68,7 @@ def net(weights: DataFrame, fills: DataFrame, prices: DataFrame, calendar: DataF
     """
     rows = accruals(changes(weights, fills), prices, calendar).withColumn("d", F.abs(F.col("weight") - F.col("previous")))
     sells = F.col("weight") < F.col("previous")
-    unit = C.charge(F.lit(1.0), sells, C.epoch_of(F.col("session_date")), F.lit(0))["total"]
+    unit = C.charge(F.lit(1.0), sells, C.epoch_of(F.col("session_date"), schedule), F.lit(0))["total"]
     leg = F.when(F.col("d") > 0, F.struct("d", F.coalesce("turnover_inr", F.lit(0.0)).alias("v"), sells.alias("sells"), unit.alias("rate")))
     per = rows.groupBy("strategy", "session_date").agg(F.sum("earned").alias("g"), F.sum(F.abs("weight")).alias("x"), F.sum("d").alias("t"), F.sort_array(F.collect_list(leg)).alias("legs"))
     legs = F.coalesce("legs", F.array().cast("array<struct<d:double,v:double,sells:boolean,rate:double>>"))

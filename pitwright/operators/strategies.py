@@ -15,6 +15,22 @@ from pyspark.sql import functions as F
 from pitwright.operators.features import by_symbol, trailing, with_returns
 
 TOP = 10
+STRATEGIES = (
+    "equal_weight_universe",
+    "simple_momentum_63d",
+    "momentum_skip_month",
+    "mean_reversion_5d",
+    "dual_momentum_21_126",
+    "relative_strength_vs_universe",
+    "low_volatility",
+    "high_volatility",
+    "inverse_volatility_weighted",
+    "min_drawdown",
+    "breakout_20d",
+    "sma_crossover",
+    "price_above_sma",
+    "liquidity_tilt",
+)
 
 
 def window_return(n: int, price: str = "adj_close") -> Column:

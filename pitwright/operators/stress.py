@@ -95,9 +95,8 @@ def regime_labels(features: DataFrame, refits: list[str], *, k: int = 2, seed: i
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("session_date")
         past = (pdf["session_date"] < pdf["refit_date"]).to_numpy()
-        none = pd.DataFrame({"session_date": [], "state": [], "refit_date": [], "n_train": []})
         if past.sum() < max(at_least, k) or past.all():
-            return none
+            return pd.DataFrame({"session_date": pdf["session_date"][:0], "state": np.zeros(0, "int32"), "refit_date": pdf["refit_date"][:0], "n_train": np.zeros(0, "int64")})
         x = pdf[["log_vol", "trend"]].to_numpy(float)
         states = forward_filter(fit_mixture(x[past], k, seed), x)[0].argmax(axis=1)
         return pd.DataFrame({"session_date": pdf["session_date"][~past], "state": states[~past].astype("int32"), "refit_date": pdf["refit_date"][~past], "n_train": int(past.sum())})
