@@ -144,4 +144,22 @@ QUERIES = {
     "op10_spotsigs": op10_spotsigs,
 }
 
-ORACLES: dict[str, str] = {}
+#: For op4. SQL has no XXH64, SHA-256 of packed ids, tokenizers, suffix arrays or fitted profiles: the other queries are
+#: tested against brute force instead.
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, t FROM tri GROUP BY doc_id, t HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS k FROM tri JOIN again USING (doc_id, t)) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower, length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
+f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (n_dup_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)::INT
+  + 16 * (n_upper > n_lower)::INT + 32 * (word_chars < 2 * n_words)::INT + 64 * (word_chars > 15 * n_words)::INT + 128 * (2 * n_digits > word_chars)::INT AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+""",
+}
