@@ -246,17 +246,18 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id
     rest = [c for c in names if c != text_col]
     plain = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST_KEY)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(f"`{text_col}`").isNull().alias("none"))
     rows = plain.repartition("k").withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy("text")))
-    narrow = rows.select("k", "rn", "text")
+    # All uses read the same columns, so that the texts are shuffled once and their exchange is reused.
+    columns = ["k", "rn", "text", "rest", "none"]
 
-    found = narrow.mapInArrow(lambda b: _anchors(b, length), "anchor bigint, context bigint, k bigint, rn int, start bigint, n int").repartition("anchor")
+    found = rows.select(columns).mapInArrow(lambda b: _anchors(b, length), "anchor bigint, context bigint, k bigint, rn int, start bigint, n int").repartition("anchor")
     own, same = W.partitionBy("anchor"), W.partitionBy("anchor", "context").orderBy("k", "rn", "start")
     classed = found.withColumn("place", F.row_number().over(same)).withColumn("mixed", F.min("context").over(own) != F.max("context").over(own))
     whole = classed.where("place > 1").select("k", "rn", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
     asked = classed.where("place = 1 and mixed").groupBy("k").agg(F.collect_list(F.struct("anchor", "rn", "start", "n")).alias("asked"))
-    contexts = narrow.join(asked.hint("shuffle_hash"), "k").mapInArrow(lambda b: _fetch(b, length), "anchor bigint, k bigint, rn int, start bigint, bytes binary")
+    contexts = rows.select(columns).join(asked.hint("shuffle_hash"), "k").mapInArrow(lambda b: _fetch(b, length), "anchor bigint, k bigint, rn int, start bigint, bytes binary")
     settled = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _settle(b, length), "k bigint, rn int, start bigint, end bigint")
     marks = whole.unionByName(settled).groupBy("k").agg(F.collect_list(F.struct("rn", "start", "end")).alias("marks"))
-    marked = rows.join(marks.hint("shuffle_hash"), "k", "left")
+    marked = rows.select(columns).join(marks.hint("shuffle_hash"), "k", "left")
 
     schema = "rest struct<%s>, text string, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string" % ", ".join(f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in rest)
 
