@@ -6,8 +6,8 @@ the same document) is removed. Suffix arrays are built over blocks that hold all
 1. A string of `length` bytes is routed by its anchor, the least of the hashes of its ANCHOR-byte pieces, which depends
    on its bytes alone; so all copies of a string have one anchor. Neighbouring strings mostly share theirs: a run of
    them is one row with the hash of its bytes (the context).
-2. Equal contexts of an anchor are aggregated: all strings of all but the first are repeats. Anchors with one context
-   need no more.
+2. Equal contexts of an anchor are aggregated, once before the shuffle and once after it: all strings of all but the
+   first are repeats. Anchors with one context need no more.
 3. Where an anchor has several contexts, the first of each is put into a block, with all of its anchor. The block's
    suffix array is sorted in two stages: only suffixes smaller than their successors are sorted directly, the others
    are induced by scans over the buckets of first bytes. Suffixes whose adjacent common prefix is `length` or more are
@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import require_columns, slices
+from .mph import mix
 
 LENGTH = 100
 ANCHOR = 24
@@ -179,8 +180,27 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                     context = np.fromiter((digest(data[s:e]) for s, e in zip(start.tolist(), ends)), np.uint64, len(start))
                     rows.append((anchor.view(np.int64), context.view(np.int64), np.full(len(n), k, np.int64), np.full(len(n), rn, np.int32), start + a, n.astype(np.int32)))
             if rows:
-                columns = [np.concatenate(c) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "k", "rn", "start", "n"])
+                columns = _first_of_each([np.concatenate(c) for c in zip(*rows)], length)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "k", "rn", "start", "n", "sure"])
+
+
+def _first_of_each(rows: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """The rows with `sure`: of equal contexts of an anchor the first stays as it is; the others, repeats for sure,
+    become one row for each stretch that they cover, under an anchor of its own that deals them out evenly."""
+    anchor, context, k, rn, start, n = rows
+    order = np.lexsort((start, rn, k, context, anchor))
+    first = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])]
+    kept, again = order[first], order[~first]
+    again = again[np.lexsort((start[again], rn[again], k[again]))]
+    end = start[again] + n[again] + length - 1
+    cut = np.ones(len(again), bool)
+    cut[1:] = (k[again][1:] != k[again][:-1]) | (rn[again][1:] != rn[again][:-1]) | (start[again][1:] > end[:-1])
+    at = np.flatnonzero(cut)
+    last = np.r_[at[1:] - 1, len(again) - 1] if len(at) else at
+    some = again[at]
+    spread = mix(k[some].view(np.uint64) ^ mix(start[some].view(np.uint64), 1), 2).view(np.int64)
+    parts = [(anchor[kept], spread), (context[kept], np.zeros(len(some), np.int64)), (k[kept], k[some]), (rn[kept], rn[some]), (start[kept], start[some]), (n[kept].astype(np.int64), end[last] - start[some] - length + 1)]
+    return [np.concatenate(p) for p in parts] + [np.r_[np.zeros(len(kept), bool), np.ones(len(some), bool)]]
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -249,11 +269,11 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id
     # All uses read the same columns, so that the texts are shuffled once and their exchange is reused.
     columns = ["k", "rn", "text", "rest", "none"]
 
-    found = rows.select(columns).mapInArrow(lambda b: _anchors(b, length), "anchor bigint, context bigint, k bigint, rn int, start bigint, n int").repartition("anchor")
+    found = rows.select(columns).mapInArrow(lambda b: _anchors(b, length), "anchor bigint, context bigint, k bigint, rn int, start bigint, n bigint, sure boolean").repartition("anchor")
     own, same = W.partitionBy("anchor"), W.partitionBy("anchor", "context").orderBy("k", "rn", "start")
     classed = found.withColumn("place", F.row_number().over(same)).withColumn("mixed", F.min("context").over(own) != F.max("context").over(own))
-    whole = classed.where("place > 1").select("k", "rn", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
-    asked = classed.where("place = 1 and mixed").groupBy("k").agg(F.collect_list(F.struct("anchor", "rn", "start", "n")).alias("asked"))
+    whole = classed.where("sure or place > 1").select("k", "rn", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
+    asked = classed.where("not sure and place = 1 and mixed").groupBy("k").agg(F.collect_list(F.struct("anchor", "rn", "start", "n")).alias("asked"))
     contexts = rows.select(columns).join(asked.hint("shuffle_hash"), "k").mapInArrow(lambda b: _fetch(b, length), "anchor bigint, k bigint, rn int, start bigint, bytes binary")
     settled = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _settle(b, length), "k bigint, rn int, start bigint, end bigint")
     marks = whole.unionByName(settled).groupBy("k").agg(F.collect_list(F.struct("rn", "start", "end")).alias("marks"))
