@@ -1,6 +1,6 @@
 """Strategies as expressions over what was visible before the fill session.
 
-Every strategy turns a panel (session_date, symbol, adj_close, open, turnover_inr) of members into weights for the
+Every strategy turns a panel (session_date, symbol, adj_close, open, high, low, turnover_inr) of members into weights for the
 session after the one that it looks at last; a name needs its whole lookback of own quotations. Ties go by symbol.
 """
 
@@ -28,6 +28,24 @@ STRATEGIES = (
     "min_drawdown",
     "breakout_20d",
     "sma_crossover",
+    "long_term_reversal_756d",
+    "cross_sectional_zscore",
+    "equal_risk_contribution_pairs",
+    "donchian_channel",
+    "bollinger_reversion",
+    "price_above_sma200",
+    "macd_signal_cross",
+    "rsi_oversold",
+    "price_vs_vwap",
+    "gap_fade",
+    "range_compression",
+    "trend_persistence",
+    "volatility_breakout",
+    "turnover_growth",
+    "equal_weight_top_liquidity",
+    "volume_weighted_momentum",
+    "seasonality_day_of_week",
+    "random_walk_baseline",
     "price_above_sma",
     "liquidity_tilt",
 )
@@ -45,10 +63,35 @@ def highest(n: int, price: str = "adj_close") -> Column:
     return trailing(price, n, F.max, upto=0)
 
 
+def lowest(n: int, price: str = "adj_close") -> Column:
+    return trailing(price, n, F.min, upto=0)
+
+
 def average(n: int, price: str = "adj_close") -> Column:
     return trailing(price, n, F.avg, upto=0)
 
 
+def trailing_median(column: str, n: int) -> Column:
+    """Median of the last n quotations; a frame has n values, so they are sorted in the row."""
+    values = F.sort_array(F.collect_list(column).over(by_symbol().rowsBetween(-n + 1, 0)))
+    middle = (F.element_at(values, (n + 1) // 2) + F.element_at(values, n // 2 + 1)) / 2
+    return F.when(F.size(values) >= n, middle)
+
+
+def smoothed(values: Column, span: int) -> Column:
+    """The exponential moving averages of a list, seeded with its first value."""
+    a = 2.0 / (span + 1)
+    step = lambda out, x: F.concat(out, F.array(a * x + (1 - a) * F.element_at(out, -1)))
+    return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, 1), step)
+
+
+def macd(n: int, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
+    """The last value of the difference of two averages, less its own average, over the last n closes."""
+    closes = F.collect_list("adj_close").over(by_symbol().rowsBetween(-n + 1, 0))
+    line = F.zip_with(smoothed(closes, fast), smoothed(closes, slow), lambda x, y: x - y)
+    return F.when(F.size(closes) >= n, F.element_at(line, -1) - F.element_at(smoothed(line, signal), -1))
+
+
 def top(score: Column, *, n: int = TOP, largest: bool = True, where: Column | None = None) -> Callable[[DataFrame], DataFrame]:
     """Equal weights of the n best-scored names of each session."""
 
@@ -75,6 +118,44 @@ def among(condition: Column, score: Column | None = None) -> Callable[[DataFrame
     return build
 
 
+def two_baskets(score: Column) -> Callable[[DataFrame], DataFrame]:
+    """The names at or below the median score and those above it: each basket weighs inversely to its mean score, its
+    names equally."""
+
+    def build(rows: DataFrame) -> DataFrame:
+        scored = rows.withColumn("score", score).where("score > 0")
+        middle = scored.groupBy("session_date").agg(F.median("score").alias("middle"))
+        split = scored.join(middle, "session_date").withColumn("basket", F.col("score") <= F.col("middle"))
+        basket, day = W.partitionBy("session_date", "basket"), W.partitionBy("session_date")
+        sized = split.withColumns({"inv": 1 / F.avg("score").over(basket), "n": F.count("*").over(basket)})
+        return sized.withColumn("weight", F.col("inv") / F.col("n") / F.sum(F.col("inv") / F.col("n")).over(day))
+
+    return build
+
+
+def top_share(score: Column, share: float) -> Callable[[DataFrame], DataFrame]:
+    """Equal weights of a share of each session's names, one at least, by a score."""
+
+    def build(rows: DataFrame) -> DataFrame:
+        day = W.partitionBy("session_date")
+        scored = rows.withColumn("score", score).where("score is not null")
+        placed = scored.withColumns({"r": F.row_number().over(day.orderBy(F.desc("score"), "symbol")), "n": F.count("*").over(day)})
+        best = placed.where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)))
+        return best.withColumn("weight", 1.0 / F.count("*").over(day))
+
+    return build
+
+
+def scaled_by_liquidity(score: Column, liquidity: Column) -> Callable[[DataFrame], DataFrame]:
+    """top() by a score times a liquidity in proportion to the session's largest."""
+
+    def build(rows: DataFrame) -> DataFrame:
+        staged = rows.withColumns({"own": score, "liquid": liquidity}).where("own is not null and liquid > 0")
+        return top(F.col("own") * F.col("liquid") / F.max("liquid").over(W.partitionBy("session_date")))(staged)
+
+    return build
+
+
 def inverse(score: Column) -> Callable[[DataFrame], DataFrame]:
     """Weights in proportion to one over a positive score."""
 
@@ -89,6 +170,7 @@ def library(scale: int = 1) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """Named strategies; lookbacks in sessions are divided by scale (5 for weekly panels)."""
     d = lambda n: max(2, n // scale)
     last, score = F.col("adj_close"), F.col("score")
+    gains, losses = trailing("gain", d(14), F.avg, upto=0), trailing("loss", d(14), F.avg, upto=0)
     return {
         "equal_weight_universe": among(F.lit(True)),
         "simple_momentum_63d": top(window_return(d(63))),
@@ -102,6 +184,24 @@ def library(scale: int = 1) -> dict[str, Callable[[DataFrame], DataFrame]]:
         "min_drawdown": top(last / highest(d(126)) - 1),
         "breakout_20d": among(score >= 0, last - highest(d(20))),
         "sma_crossover": among(score > 0, average(d(20)) - average(d(50))),
+        "long_term_reversal_756d": top(window_return(d(756)), largest=False),
+        "cross_sectional_zscore": top(window_return(d(21))),
+        "equal_risk_contribution_pairs": two_baskets(deviation(d(63))),
+        "donchian_channel": among(score >= 0.8, F.try_divide(last - lowest(d(55)), highest(d(55)) - lowest(d(55)))),
+        "bollinger_reversion": among(score < 0, last - average(d(20)) + 2 * trailing("adj_close", d(20), F.stddev_samp, upto=0)),
+        "price_above_sma200": among(score > 0, last - average(d(200))),
+        "macd_signal_cross": among(score > 0, macd(d(78))),
+        "rsi_oversold": among(score < 30, 100 - 100 / (1 + gains / F.when(losses > 0, losses))),
+        "price_vs_vwap": among(score < 0, last - F.try_divide(trailing("value_close", d(63), F.sum, upto=0), trailing("turnover_inr", d(63), F.sum, upto=0))),
+        "gap_fade": top(F.try_divide(F.col("open"), F.lag("adj_close", 1).over(by_symbol())) - 1, n=5, largest=False, where=score <= -0.02),
+        "range_compression": top(F.try_divide(trailing("rel_range", d(10), F.avg, upto=0), trailing("rel_range", d(63), F.avg, upto=0)), largest=False),
+        "trend_persistence": top(trailing("rose", d(63), F.avg, upto=0)),
+        "volatility_breakout": among(score > 0, deviation(d(21)) - 1.25 * deviation(d(126))),
+        "turnover_growth": top(F.try_divide(trailing("turnover_inr", d(5), F.avg, upto=0), trailing_median("turnover_inr", d(63))) - 1),
+        "equal_weight_top_liquidity": top_share(trailing_median("turnover_inr", d(21)), 0.5),
+        "volume_weighted_momentum": scaled_by_liquidity(window_return(d(63)), trailing_median("turnover_inr", d(63))),
+        "seasonality_day_of_week": among(F.weekday("session_date").isin(0, 1)),
+        "random_walk_baseline": top(F.xxhash64("session_date", "symbol")),
         "price_above_sma": among(score > 0, last - average(d(50))),
         "liquidity_tilt": top(trailing("turnover_inr", d(21), F.avg, upto=0)),
     }
@@ -109,6 +209,14 @@ def library(scale: int = 1) -> dict[str, Callable[[DataFrame], DataFrame]]:
 
 def weights(panel: DataFrame, calendar: DataFrame, name: str, scale: int = 1) -> DataFrame:
     """strategy, session_date (of the fill), symbol, weight of a named strategy."""
-    rows = library(scale)[name](with_returns(panel))
+    ret = F.col("ret")
+    measures = {
+        "rose": F.when(ret.isNotNull(), (ret > 0).cast("double")),
+        "gain": F.when(ret.isNotNull(), F.greatest(ret, F.lit(0.0))),
+        "loss": F.when(ret.isNotNull(), F.greatest(-ret, F.lit(0.0))),
+        "value_close": F.col("adj_close") * F.col("turnover_inr"),
+        "rel_range": F.try_divide(F.col("high") - F.col("low"), F.col("adj_close")),
+    }
+    rows = library(scale)[name](with_returns(panel).withColumns(measures))
     fills = calendar.withColumn("fill", F.lead("session_date").over(W.orderBy("session_date"))).select("session_date", "fill")
     return rows.join(fills, "session_date").where("fill is not null").select(F.lit(name).alias("strategy"), F.col("fill").alias("session_date"), "symbol", "weight")

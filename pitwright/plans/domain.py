@@ -335,6 +335,13 @@ ORACLES |= {
     "s_equal_weight_universe": sql("SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM wk JOIN nx USING (session_date) WHERE fill IS NOT NULL", LAST),
     "s_breakout_20d": sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, close - ({_frame('max(close)', 4)}) AS s FROM wk) JOIN nx USING (session_date) WHERE s >= 0 AND fill IS NOT NULL", LAST),
     "s_price_above_sma": sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, close - ({_frame('avg(close)', 10)}) AS s FROM wk) JOIN nx USING (session_date) WHERE s > 0 AND fill IS NOT NULL", LAST),
+    "s_cross_sectional_zscore": _top("close / lag(close, 4) OVER w - 1"),
+    "s_long_term_reversal_756d": _top("close / lag(close, 151) OVER w - 1", "ASC"),
+    "s_gap_fade": sql("SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, row_number() OVER (PARTITION BY session_date ORDER BY s, symbol) AS k FROM (SELECT symbol, session_date, open / lag(close) OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS s FROM wk) WHERE s <= -0.02) JOIN nx USING (session_date) WHERE k <= 5 AND fill IS NOT NULL", LAST),
+    "s_donchian_channel": sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, (close - lo) / nullif(hi - lo, 0) AS s FROM (SELECT symbol, session_date, close, {_frame('min(close)', 11)} AS lo, {_frame('max(close)', 11)} AS hi FROM wk)) JOIN nx USING (session_date) WHERE s >= 0.8 AND fill IS NOT NULL", LAST),
+    "s_volatility_breakout": sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, ({_frame('stddev_samp(ret)', 4)}) - 1.25 * ({_frame('stddev_samp(ret)', 25)}) AS s FROM ret) JOIN nx USING (session_date) WHERE s > 0 AND fill IS NOT NULL", f"{RET}, {LAST}"),
+    "s_seasonality_day_of_week": sql("SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM wk JOIN nx USING (session_date) WHERE fill IS NOT NULL AND isodow(session_date) IN (1, 2)", LAST),
+    "s_trend_persistence": _top(_frame("avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END)", 12)),
     "s_inverse_volatility_weighted": sql(f"SELECT fill AS session_date, symbol, round((1 / s) / sum(1 / s) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, {_frame('stddev_samp(ret)', 12)} AS s FROM ret) JOIN nx USING (session_date) WHERE s > 0 AND fill IS NOT NULL", f"{RET}, {LAST}"),
 }
 
