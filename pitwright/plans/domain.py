@@ -49,10 +49,10 @@ MEASURES = f"""{RET},
 meas AS (SELECT *, abs(ret) AS abs_ret, CASE WHEN count(turnover_inr) OVER b = 8 THEN avg(turnover_inr) OVER b END AS adv_inr, CASE WHEN turnover_inr > 0 THEN abs(ret) / turnover_inr END AS amihud FROM ret WINDOW b AS (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))"""
 
 
-@query("q01_daily_measures", sql("SELECT symbol, session_date, round(ret, 6) AS ret, round(adv_inr, 4) AS adv_inr, round(turnover_inr / adv_inr, 6) AS rel_value, round(amihud * 1e6, 6) AS amihud FROM meas", MEASURES))
+@query("q01_daily_measures", sql("SELECT symbol, session_date, round(ret, 6) AS ret, round(adv_inr, 5) AS adv_inr, round(turnover_inr / adv_inr, 6) AS rel_value, round(amihud * 1e6, 6) AS amihud FROM meas", MEASURES))
 def q01(spark, sf):
     m = features.daily_measures(week(spark, sf), window=8)
-    return m.select("symbol", "session_date", r("ret").alias("ret"), r("adv_inr", 4).alias("adv_inr"), r("rel_value").alias("rel_value"), r(F.col("amihud_term") * 1e6).alias("amihud"))
+    return m.select("symbol", "session_date", r("ret").alias("ret"), r("adv_inr", 5).alias("adv_inr"), r("rel_value").alias("rel_value"), r(F.col("amihud_term") * 1e6).alias("amihud"))
 
 
 @query(
@@ -121,16 +121,16 @@ def q07(spark, sf):
     return capacity.turnover_by_session(book(week(spark, sf)), at_least=1e-9).select("session_date", "symbol", r("traded_fraction", 9).alias("traded"))
 
 
-@query("q08_session_capacity", sql("SELECT session_date, round(capacity, 4) AS capacity, binding, n, round(second, 4) AS second FROM percap", CAPACITY))
+@query("q08_session_capacity", sql("SELECT session_date, round(capacity, 8) AS capacity, binding, n, round(second, 8) AS second FROM percap", CAPACITY))
 def q08(spark, sf):
-    return per_session(spark, sf).select("session_date", r("capacity_inr", 4).alias("capacity"), F.col("binding_symbol").alias("binding"), F.col("n_names").alias("n"), r("second_capacity", 4).alias("second"))
+    return per_session(spark, sf).select("session_date", r("capacity_inr", 8).alias("capacity"), F.col("binding_symbol").alias("binding"), F.col("n_names").alias("n"), r("second_capacity", 8).alias("second"))
 
 
-@query("q09_capacity_summary", sql("SELECT round(min(capacity), 4) AS binding, round(min_by(capacity, session_date), 4) AS entry, round(median(capacity), 4) AS median, round(quantile_cont(capacity, 0.05), 4) AS p05, round(quantile_cont(capacity, 0.95), 4) AS p95, count(*) AS n, round(avg(CASE WHEN second > 2 * capacity THEN 1.0 ELSE 0.0 END), 6) AS one_name, round(median(second), 4) AS relaxed FROM percap", CAPACITY))
+@query("q09_capacity_summary", sql("SELECT round(min(capacity), 8) AS binding, round(min_by(capacity, session_date), 8) AS entry, round(median(capacity), 8) AS median, round(quantile_cont(capacity, 0.05), 8) AS p05, round(quantile_cont(capacity, 0.95), 8) AS p95, count(*) AS n, round(avg(CASE WHEN second > 2 * capacity THEN 1.0 ELSE 0.0 END), 6) AS one_name, round(median(second), 8) AS relaxed FROM percap", CAPACITY))
 def q09(spark, sf):
     s = capacity.summarise_capacity(per_session(spark, sf))
     names = {"binding_capacity": "binding", "entry_capacity": "entry", "median_capacity": "median", "p05_capacity": "p05", "p95_capacity": "p95", "median_relaxed": "relaxed"}
-    return s.select(*[r(a, 4).alias(b) for a, b in names.items()], F.col("n_sessions").alias("n"), r("bound_by_one_name").alias("one_name"))
+    return s.select(*[r(a, 8).alias(b) for a, b in names.items()], F.col("n_sessions").alias("n"), r("bound_by_one_name").alias("one_name"))
 
 
 FLOW = """roll AS (SELECT session_date, net, CASE WHEN count(net) OVER w = 3 THEN sum(net) OVER w END AS rolling FROM net WINDOW w AS (ORDER BY session_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
@@ -193,12 +193,12 @@ def d07(spark, sf):
     return adjust.detect(panel, calendar.build(panel)).select("symbol", "ex_date", r("factor").alias("factor"))
 
 
-@query("d11_back_adjust", sql("SELECT w.symbol, w.session_date, round(close / d, 6) AS adj_close, d AS divisor FROM (SELECT wk.*, coalesce((SELECT CASE WHEN count(*) = 0 THEN 1.0 ELSE 2.0 ** count(*) END FROM ex WHERE ex.symbol = wk.symbol AND ex.ex_date > wk.session_date), 1.0) AS d FROM wk) w", "ex AS (SELECT symbol, max(session_date) AS ex_date FROM wk WHERE session_date < DATE '1995-01-01' GROUP BY 1 UNION ALL SELECT symbol, max(session_date) FROM wk WHERE session_date < DATE '1997-01-01' GROUP BY 1)"))
+@query("d11_back_adjust", sql("SELECT w.symbol, w.session_date, round(close / d, 10) AS adj_close, d AS divisor FROM (SELECT wk.*, coalesce((SELECT CASE WHEN count(*) = 0 THEN 1.0 ELSE 2.0 ** count(*) END FROM ex WHERE ex.symbol = wk.symbol AND ex.ex_date > wk.session_date), 1.0) AS d FROM wk) w", "ex AS (SELECT symbol, max(session_date) AS ex_date FROM wk WHERE session_date < DATE '1995-01-01' GROUP BY 1 UNION ALL SELECT symbol, max(session_date) FROM wk WHERE session_date < DATE '1997-01-01' GROUP BY 1)"))
 def d11(spark, sf):
     panel = week(spark, sf)
     days = [panel.where(f"session_date < '{y}-01-01'").groupBy("symbol").agg(F.max("session_date").alias("ex_date")) for y in (1995, 1997)]
     events = days[0].unionByName(days[1]).withColumn("factor", F.lit(2.0))
-    return adjust.back_adjust(panel, events).select("symbol", "session_date", r("adj_close").alias("adj_close"), "divisor")
+    return adjust.back_adjust(panel, events).select("symbol", "session_date", r("adj_close", 10).alias("adj_close"), "divisor")
 
 
 @query("d12_unexplained_moves", sql("SELECT symbol, session_date, round(ratio, 6) AS ratio FROM (SELECT symbol, session_date, close / lag(close) OVER w AS ratio, session_idx - lag(session_idx) OVER w = 1 AS adj FROM wk JOIN cal USING (session_date) WINDOW w AS (PARTITION BY symbol ORDER BY session_date)) WHERE adj AND ratio < 0.65 AND NOT (symbol = 'Brand#11')"))
@@ -232,15 +232,15 @@ def legs(spark, sf):
     return rows.where("on >= '2015-01-01'")
 
 
-@query("b13_statutory_charges", sql("SELECT o_orderkey, round(t * 0.001, 6) AS stt, round(CASE WHEN sells THEN 0 ELSE t * 0.00015 END, 6) AS stamp, round(t * x, 6) AS exchange, round(t * (x + 0.000002) * 0.18, 6) AS gst, round(t * 0.001 + CASE WHEN sells THEN 15.34 ELSE t * 0.00015 END + t * (x + 0.000002) * 1.18, 4) AS total FROM rated", COSTS))
+@query("b13_statutory_charges", sql("SELECT o_orderkey, round(t * 0.001, 10) AS stt, round(CASE WHEN sells THEN 0 ELSE t * 0.00015 END, 10) AS stamp, round(t * x, 10) AS exchange, round(t * (x + 0.000002) * 0.18, 10) AS gst, round(t * 0.001 + CASE WHEN sells THEN 15.34 ELSE t * 0.00015 END + t * (x + 0.000002) * 1.18, 10) AS total FROM rated", COSTS))
 def b13(spark, sf):
     s = costs.execute(legs(spark, sf), depository=costs.DEPOSITORY)
-    return s.select("o_orderkey", *[r(f"statutory.{c}").alias(c) for c in ("stt", "stamp", "exchange", "gst")], r("statutory.total", 4).alias("total"))
+    return s.select("o_orderkey", *[r(f"statutory.{c}", 10).alias(c) for c in ("stt", "stamp", "exchange", "gst")], r("statutory.total", 10).alias("total"))
 
 
-@query("b16_execution_cost", sql("SELECT o_orderkey, round(t * least(0.1 * t / v, 0.05), 4) AS slippage, round(t * 0.02 * sqrt(t / v), 4) AS impact FROM rated", COSTS))
+@query("b16_execution_cost", sql("SELECT o_orderkey, round(t * least(0.1 * t / v, 0.05), 8) AS slippage, round(t * 0.02 * sqrt(t / v), 8) AS impact FROM rated", COSTS))
 def b16(spark, sf):
-    return costs.execute(legs(spark, sf)).select("o_orderkey", r("slippage", 4).alias("slippage"), r("impact", 4).alias("impact"))
+    return costs.execute(legs(spark, sf)).select("o_orderkey", r("slippage", 8).alias("slippage"), r("impact", 8).alias("impact"))
 
 
 @query("b18_order_audit", sql("SELECT o_orderkey, CASE WHEN t > 0.03 * v THEN 1 ELSE 0 END AS participation, CASE WHEN v < 200000 THEN 1 ELSE 0 END AS liquidity FROM rated", COSTS))

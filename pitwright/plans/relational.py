@@ -54,9 +54,9 @@ def week(spark: SparkSession, sf: str) -> DataFrame:
 # Projections and filters
 
 
-@query("p02_computed_columns", sql("SELECT symbol, session_date, round(close - open, 6) AS change, round(abs((close - open) / open), 6) AS abs_move FROM wk"))
+@query("p02_computed_columns", sql("SELECT symbol, session_date, round(close - open, 8) AS change, round(abs((close - open) / open), 6) AS abs_move FROM wk"))
 def p02(spark, sf):
-    return week(spark, sf).withColumn("change", F.col("close") - F.col("open")).withColumn("abs_move", F.abs(F.col("change") / F.col("open"))).select("symbol", "session_date", r("change").alias("change"), r("abs_move").alias("abs_move"))
+    return week(spark, sf).withColumn("change", F.col("close") - F.col("open")).withColumn("abs_move", F.abs(F.col("change") / F.col("open"))).select("symbol", "session_date", r("change", 8).alias("change"), r("abs_move").alias("abs_move"))
 
 
 @query("p05_date_window", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-07-01' AND l_quantity > 45")
@@ -64,11 +64,11 @@ def p05(spark, sf):
     return table(spark, sf, "lineitem").where("l_shipdate >= '1995-01-01' and l_shipdate < '1995-07-01' and l_quantity > 45").select("l_orderkey", "l_linenumber")
 
 
-@query("p06_is_in", sql("SELECT symbol, session_date, round(close, 6) AS close FROM wk WHERE symbol IN (SELECT symbol FROM wk GROUP BY symbol ORDER BY sum(turnover_inr) DESC, symbol LIMIT 5)"))
+@query("p06_is_in", sql("SELECT symbol, session_date, round(close, 8) AS close FROM wk WHERE symbol IN (SELECT symbol FROM wk GROUP BY symbol ORDER BY sum(turnover_inr) DESC, symbol LIMIT 5)"))
 def p06(spark, sf):
     panel = week(spark, sf)
     largest = panel.groupBy("symbol").agg(F.sum("turnover_inr").alias("t")).orderBy(F.desc("t"), "symbol").limit(5)
-    return panel.join(largest, "symbol", "left_semi").select("symbol", "session_date", r("close").alias("close"))
+    return panel.join(largest, "symbol", "left_semi").select("symbol", "session_date", r("close", 8).alias("close"))
 
 
 @query("p07_three_way_case", sql("SELECT symbol, session_date, CASE WHEN close > open * 1.5 THEN 'up' WHEN close < open / 1.5 THEN 'down' ELSE 'flat' END AS move FROM wk"))
@@ -117,10 +117,10 @@ def j01(spark, sf):
     return event_panel(spark, sf).join(net_flow(spark, sf), "session_date").select("symbol", "session_date", r("value", 4).alias("value"), r("net", 4).alias("net"))
 
 
-@query("j02_inner_two_keys", sql("SELECT w.symbol, w.session_date, round(w.close, 6) AS week_close, round(d.close, 6) AS day_close FROM wk w JOIN dy d ON w.symbol = d.symbol AND w.session_date = d.session_date"))
+@query("j02_inner_two_keys", sql("SELECT w.symbol, w.session_date, round(w.close, 8) AS week_close, round(d.close, 8) AS day_close FROM wk w JOIN dy d ON w.symbol = d.symbol AND w.session_date = d.session_date"))
 def j02(spark, sf):
-    d = price_panel(spark, sf, "day").select("symbol", "session_date", r("close").alias("day_close"))
-    return week(spark, sf).select("symbol", "session_date", r("close").alias("week_close")).join(d, ["symbol", "session_date"])
+    d = price_panel(spark, sf, "day").select("symbol", "session_date", r("close", 8).alias("day_close"))
+    return week(spark, sf).select("symbol", "session_date", r("close", 8).alias("week_close")).join(d, ["symbol", "session_date"])
 
 
 @query("j04_full_outer", sql("SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.session_date, b.session_date) AS session_date, coalesce(a.n, 0) AS n_high, coalesce(b.n, 0) AS n_low FROM (SELECT symbol, session_date, n FROM ev WHERE n > 60) a FULL JOIN (SELECT symbol, session_date, n FROM ev WHERE n <= 70) b ON a.symbol = b.symbol AND a.session_date = b.session_date"))
@@ -157,11 +157,11 @@ def j09(spark, sf):
     return table(spark, sf, "customer").select("c_custkey").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
-@query("j11_adjacent_session", sql("SELECT d.symbol, d.session_date, round(p.close, 6) AS prior_close FROM (SELECT dy.*, session_idx FROM dy JOIN dcal USING (session_date)) d JOIN (SELECT dy.symbol, dy.close, session_idx FROM dy JOIN dcal USING (session_date)) p ON d.symbol = p.symbol AND d.session_idx = p.session_idx + 1"))
+@query("j11_adjacent_session", sql("SELECT d.symbol, d.session_date, round(p.close, 8) AS prior_close FROM (SELECT dy.*, session_idx FROM dy JOIN dcal USING (session_date)) d JOIN (SELECT dy.symbol, dy.close, session_idx FROM dy JOIN dcal USING (session_date)) p ON d.symbol = p.symbol AND d.session_idx = p.session_idx + 1"))
 def j11(spark, sf):
     panel = price_panel(spark, sf, "day")
     numbered = panel.join(calendar.build(panel), "session_date")
-    before = numbered.select("symbol", (F.col("session_idx") + 1).alias("session_idx"), r("close").alias("prior_close"))
+    before = numbered.select("symbol", (F.col("session_idx") + 1).alias("session_idx"), r("close", 8).alias("prior_close"))
     return numbered.select("symbol", "session_date", "session_idx").join(before, ["symbol", "session_idx"]).drop("session_idx")
 
 
@@ -197,9 +197,9 @@ def e09(spark, sf):
     return table(spark, sf, "lineitem").agg(F.count_distinct(F.struct("l_partkey", "l_suppkey")).alias("pairs"))
 
 
-@query("e10_last_close", sql("SELECT symbol, round(max_by(close, session_date), 6) AS last_close FROM wk GROUP BY symbol"))
+@query("e10_last_close", sql("SELECT symbol, round(max_by(close, session_date), 8) AS last_close FROM wk GROUP BY symbol"))
 def e10(spark, sf):
-    return week(spark, sf).groupBy("symbol").agg(r(F.max_by("close", "session_date")).alias("last_close"))
+    return week(spark, sf).groupBy("symbol").agg(r(F.max_by("close", "session_date"), 8).alias("last_close"))
 
 
 @query("e17_describe", sql("SELECT symbol, count(*) AS n, round(median(volume), 4) AS median, round(avg(volume), 4) AS mean, round(quantile_cont(volume, 0.1), 4) AS p10, round(quantile_cont(volume, 0.9), 4) AS p90, round(stddev_samp(volume), 4) AS sd FROM wk GROUP BY symbol"))
@@ -231,9 +231,9 @@ def e23(spark, sf):
 # Windows
 
 
-@query("w01_lag_own_quotations", sql("SELECT symbol, session_date, round(lag(close) OVER w, 6) AS prior_close, lag(session_date) OVER w AS prior_date FROM dy WINDOW w AS (PARTITION BY symbol ORDER BY session_date)"))
+@query("w01_lag_own_quotations", sql("SELECT symbol, session_date, round(lag(close) OVER w, 8) AS prior_close, lag(session_date) OVER w AS prior_date FROM dy WINDOW w AS (PARTITION BY symbol ORDER BY session_date)"))
 def w01(spark, sf):
-    return price_panel(spark, sf, "day").select("symbol", "session_date", r(features.lagged("close")).alias("prior_close"), features.lagged("session_date").alias("prior_date"))
+    return price_panel(spark, sf, "day").select("symbol", "session_date", r(features.lagged("close"), 8).alias("prior_close"), features.lagged("session_date").alias("prior_date"))
 
 
 @query("w04_trailing_mean", sql("SELECT symbol, session_date, round(CASE WHEN count(turnover_inr) OVER w = 21 THEN avg(turnover_inr) OVER w END, 4) AS adv FROM wk WINDOW w AS (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)"))
@@ -328,9 +328,9 @@ def u03(spark, sf):
     return c.intersect(s).withColumn("kind", F.lit("both")).unionByName(c.subtract(s).withColumn("kind", F.lit("customers only")))
 
 
-@query("u04_unpivot", sql("SELECT symbol, session_date, measure, round(value, 6) AS value FROM (SELECT symbol, session_date, open, high, low, close FROM wk) UNPIVOT (value FOR measure IN (open, high, low, close))"))
+@query("u04_unpivot", sql("SELECT symbol, session_date, measure, round(value, 8) AS value FROM (SELECT symbol, session_date, open, high, low, close FROM wk) UNPIVOT (value FOR measure IN (open, high, low, close))"))
 def u04(spark, sf):
-    return week(spark, sf).unpivot(["symbol", "session_date"], ["open", "high", "low", "close"], "measure", "value").withColumn("value", r("value"))
+    return week(spark, sf).unpivot(["symbol", "session_date"], ["open", "high", "low", "close"], "measure", "value").withColumn("value", r("value", 8))
 
 
 @query("u05_pivot", sql("SELECT session_date, sum(n) FILTER (WHERE symbol = 'click')::BIGINT AS click, sum(n) FILTER (WHERE symbol = 'purchase')::BIGINT AS purchase, sum(n) FILTER (WHERE symbol = 'error')::BIGINT AS error FROM ev GROUP BY session_date"))
@@ -338,11 +338,11 @@ def u05(spark, sf):
     return event_panel(spark, sf).groupBy("session_date").pivot("symbol", ["click", "purchase", "error"]).agg(F.sum("n"))
 
 
-@query("u06_densify", sql("SELECT s.symbol, c.session_date, round(w.close, 6) AS close FROM (SELECT DISTINCT symbol FROM wk) s CROSS JOIN cal c LEFT JOIN wk w ON w.symbol = s.symbol AND w.session_date = c.session_date"))
+@query("u06_densify", sql("SELECT s.symbol, c.session_date, round(w.close, 8) AS close FROM (SELECT DISTINCT symbol FROM wk) s CROSS JOIN cal c LEFT JOIN wk w ON w.symbol = s.symbol AND w.session_date = c.session_date"))
 def u06(spark, sf):
     panel = week(spark, sf)
     grid = panel.select("symbol").distinct().crossJoin(calendar.build(panel).select("session_date"))
-    return grid.join(panel.select("symbol", "session_date", r("close").alias("close")), ["symbol", "session_date"], "left")
+    return grid.join(panel.select("symbol", "session_date", r("close", 8).alias("close")), ["symbol", "session_date"], "left")
 
 
 # Scalar functions
