@@ -123,6 +123,10 @@ class Codec:
         known.update(zip(new, self.resolve(new)))
         memo.update((p, b"".join([known[t] for t in tokens])) for p, tokens in zip(pieces, cut))
 
+    def release(self) -> None:
+        """Empties all memos; a worker that waits for its next task holds none."""
+        self.pieces, self.alone, self.tokens, self._long = {}, {}, {}, []
+
     def _trim(self) -> None:
         """Empties memos that are full, and drops long keys."""
         for memo, most in ((self.pieces, MEMO_ENTRIES), (self.alone, MEMO_ENTRIES // 8), (self.tokens, 2 * MEMO_ENTRIES)):
@@ -185,7 +189,7 @@ class Tokenizer:
     def encode(self, df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
         """The columns keep (None: all) and the packed ids."""
         get = self._get
-        return map_texts(df, lambda texts: [get().encode(texts)], [(ids_col, "binary")], text_col=text_col, keep=keep)
+        return map_texts(df, lambda texts: [get().encode(texts)], [(ids_col, "binary")], text_col=text_col, keep=keep, after=lambda: get().release())
 
     def decode(self, df: DataFrame, *, ids_col: str = "ids", bytes_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
         """The columns keep (None: all) and the bytes of the ids; null ids count as none."""
@@ -201,7 +205,7 @@ class Tokenizer:
             packed = get().encode(texts)
             return [packed, get().decode(packed)]
 
-        return map_texts(df, kernel, [(ids_col, "binary"), (bytes_col, "binary")], text_col=text_col, keep=keep)
+        return map_texts(df, kernel, [(ids_col, "binary"), (bytes_col, "binary")], text_col=text_col, keep=keep, after=lambda: get().release())
 
 
 class _Handle:

@@ -61,9 +61,11 @@ def map_texts(
     *,
     text_col: str = "text",
     keep: Sequence[str] | None = None,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """The columns keep (None: all) of df and what the kernel makes of the texts, a list for each field (name, type).
 
+    after: called when a task ends, to release what the kernel keeps in its worker.
     A null text counts as empty. A new field takes the place of an input column of the same name.
     """
     require_columns(df, text_col)
@@ -80,11 +82,15 @@ def map_texts(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
-        for batch in batches:
-            for part in slices(batch, inner):
-                made = kernel(part.column(inner).to_pylist())
-                columns = [part.column(c).cast(out.field(c).type) for c in keep]
-                columns += [pa.array(v, type=out.field(len(keep) + i).type) for i, v in enumerate(made)]
-                yield pa.RecordBatch.from_arrays(columns, schema=out)
+        try:
+            for batch in batches:
+                for part in slices(batch, inner):
+                    made = kernel(part.column(inner).to_pylist())
+                    columns = [part.column(c).cast(out.field(c).type) for c in keep]
+                    columns += [pa.array(v, type=out.field(len(keep) + i).type) for i, v in enumerate(made)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=out)
+        finally:
+            if after is not None:
+                after()
 
     return plain.mapInArrow(run, schema)
