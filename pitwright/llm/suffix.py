@@ -36,7 +36,7 @@ from .mph import mix
 LENGTH = 100
 ANCHOR = 24
 #: Bytes of contexts in a block (an anchor is never split), and string starts of a text that are hashed at once.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 PIECE = 1 << 22
 SEPARATOR = 0xFF  # in no UTF-8 text
 FIRST_KEY = -(2**63)  # for null ids
