@@ -38,9 +38,21 @@ from .mph import MinimalPerfectHash, mix
 
 MEMO_ENTRIES = 500_000
 MEMO_KEY = 64
-#: Words whose ids are those of their letters, lower-cased, and then those of their last sign.
-_PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
-_BLANKS = str.maketrans("\t\n\v\f\r", "     ")
+#: Words whose ids are those of their letters (Latin-1, so that composing changes nothing and lower case is one letter
+#: for one), lower-cased, and then those of their last sign.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_BLANKS = "\t\n\v\f\r"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others in
+    turn from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordEncoder:
@@ -67,7 +79,8 @@ class WordEncoder:
 
     def _letters(self, word: str) -> bytes:
         if (ids := self.letters.get(word)) is None:
-            ids = self._pack([t.id for t in self.tokenizer.model.tokenize(word)])
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids = self._pack([t.id for t in self.tokenizer.model.tokenize(spelt)])
             if len(word) <= MEMO_KEY:
                 self.letters[word] = ids
         return ids
@@ -80,7 +93,12 @@ class WordEncoder:
         for w in self._long:
             self.words.pop(w, None)
         memo = self.words
-        cut = [t.translate(_BLANKS).split(" ") for t in texts]
+        cut = []
+        for t in texts:
+            for blank in _BLANKS:
+                if blank in t:
+                    t = t.replace(blank, " ")
+            cut.append(t.split(" "))
         new = set().union(*cut).difference(memo)
         self._long = [w for w in new if len(w) > MEMO_KEY]
         other = []
