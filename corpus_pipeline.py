@@ -30,18 +30,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays (of equal ids, the first text).
 
-    Documents without an id go where their group has one with an id; else one of each fingerprint stays.
+    A document without an id stays only where its group has none with an id.
     """
     names = docs.columns
     own = checkpointed(simhash.fingerprints(docs.select("doc_id", "text"), shingle=SHINGLE, keep=["doc_id"]))
-    groups = simhash.classes(own, threshold=THRESHOLD)
-    key = F.coalesce(F.col("doc_id"), F.lit(suffix.FIRST_KEY))
-    first = own.join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(key.alias("__k")).agg(F.collect_set("fp").alias("__fps"))
-    marked = simhash.fingerprints(docs, shingle=SHINGLE, fp_col="__fp").withColumn("__k", key).repartition("__k")
-    kept = marked.join(first.hint("shuffle_hash"), "__k").where(F.array_contains("__fps", F.col("__fp")))
-    group = F.when(F.col("doc_id").isNull(), F.col("__fp"))
-    place = F.row_number().over(W.partitionBy("__k", group).orderBy("text"))
-    return kept.withColumn("__place", place).where("__place = 1").select(*names)
+    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    edges = simhash.links(distinct, threshold=THRESHOLD, blocks=simhash.block_count(distinct.count()))
+    groups = checkpointed(simhash.rooted(distinct, edges))
+    least = groups.groupBy("root").agg(F.min("first_id").alias("__id"))
+    wanted = groups.join(least, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "__id")
+    marked = simhash.fingerprints(docs, shingle=SHINGLE, fp_col="__fp")
+    kept = marked.join(wanted, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    rest = [c for c in names if c != "text"]
+    first = kept.groupBy("__root").agg(F.min(F.struct("text", *rest)).alias("__row"))
+    return first.select(*[F.col("__row").getField(c).alias(c) for c in names])
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,15 +34,15 @@ PAIRS = 1 << 22
 DENSE = 1 << 24
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half the XXH64 hashes of the text's word shingles; no words: 0.
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 hashes of the text's word shingles, in order; no words: none.
 
     A-Z are lower-cased; words are runs of other than space and U+0009 to U+000D; fewer words than a shingle has make
     one shingle.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends]
@@ -51,7 +51,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         hashes = [digest(joined, SEED)]
     else:
         hashes = [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])]
-    array = np.array(hashes, "<u8")
+    return np.array(hashes, "<u8")
+
+
+def fingerprint_of(array: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; no hashes: 0."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(array), 1 << 16):
         part = array[i : i + (1 << 16)]
@@ -59,6 +63,10 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(array), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def fingerprints(df: DataFrame, *, shingle: int = SHINGLE, text_col: str = "text", fp_col: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (None: all) and the fingerprint as a signed 64-bit integer. A null text has no words."""
 
@@ -203,14 +211,18 @@ def links(distinct: DataFrame, *, threshold: int = THRESHOLD, blocks: int, fp_co
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "u bigint, v bigint")
 
 
+def rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """distinct (fp, ...) with root, the same for all fingerprints that the edges (u, v) join."""
+    return distinct.join(components(edges), distinct.fp == F.col("node"), "left").select(*[distinct[c] for c in distinct.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def classes(fps: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of fps: the smallest id of its component. Null ids are passed
     over; a component of null ids only has a null component_id."""
     distinct = checkpointed(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first_id")))
-    edges = links(distinct, threshold=threshold, blocks=block_count(distinct.count()))
-    rooted = distinct.join(components(edges), distinct.fp == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    groups = rooted(distinct, links(distinct, threshold=threshold, blocks=block_count(distinct.count())))
+    least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return groups.join(least, "root").select("fp", "component_id")
 
 
 def near_duplicates(df: DataFrame, *, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
