@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitwright.llm import bpe, mixing, quality, simhash, suffix
+from pitwright.llm import bpe, mixing, nearcopy, quality, simhash, suffix
 from pitwright.llm.common import checkpointed, shared_dir, table
 
 #: Near duplicates take five words; fingerprints link at this many differing bits.
@@ -27,16 +27,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs)
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays (of equal ids, the first text).
-
-    A document without an id stays only where its group has none with an id.
-    """
+def _one_of_each(docs: DataFrame, *, verified: bool) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id (of equal ids, the first text). A document without
+    an id stays only where its group has none with an id. verified: links by exact likeness join groups too."""
     names = docs.columns
-    own = checkpointed(simhash.fingerprints(docs.select("doc_id", "text"), shingle=SHINGLE, keep=["doc_id"]))
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    ids = docs.select("doc_id", "text")
+    own = checkpointed(nearcopy.sketches(ids, shingle=SHINGLE, keep=["doc_id"]) if verified else simhash.fingerprints(ids, shingle=SHINGLE, keep=["doc_id"]))
+    bands = [F.first("bands").alias("bands")] if verified else []
+    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *bands))
     edges = simhash.links(distinct, threshold=THRESHOLD, blocks=simhash.block_count(distinct.count()))
-    groups = checkpointed(simhash.rooted(distinct, edges))
+    if verified:
+        edges = edges.unionByName(nearcopy.links(docs, distinct, shingle=SHINGLE))
+    groups = checkpointed(simhash.rooted(distinct.select("fp", "first_id"), edges))
     least = groups.groupBy("root").agg(F.min("first_id").alias("__id"))
     wanted = groups.join(least, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "__id")
     marked = simhash.fingerprints(docs, shingle=SHINGLE, fp_col="__fp")
@@ -46,6 +48,17 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return first.select(*[F.col("__row").getField(c).alias(c) for c in names])
 
 
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of documents whose fingerprints link at THRESHOLD bits."""
+    return _one_of_each(docs, verified=False)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of documents whose fingerprints link at THRESHOLD bits, or whose texts have a Jaccard likeness
+    of nearcopy.AT_LEAST or more on SHINGLE words."""
+    return _one_of_each(docs, verified=True)
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings that start earlier too are cut out of the texts; all documents stay."""
     cut = suffix.remove_repeats(docs)
@@ -80,7 +93,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
-    ("simhash_near_dedup", simhash_near_dedup),
+    ("simhash_near_dedup", near_dedup),
     ("suffix_array_dedup", suffix_array_dedup),
     ("mix_sources", mix_sources),
     ("byte_bpe_encode", encode),
