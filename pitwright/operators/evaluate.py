@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -46,7 +46,7 @@ def area(curve: DataFrame, x: str = "coverage", y: str = "performance") -> DataF
     return curve.select(step.alias("s")).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("area"))
 
 
-def overfitting(spark: SparkSession, returns: DataFrame, blocks: int = 8) -> DataFrame:
+def overfitting(spark: SparkSession, returns: DataFrame, blocks: int = 16) -> DataFrame:
     """One row: partitions, pbo: the share of ways to split the blocks of sessions in halves in which the best strategy
     of one half ranks in the lower half of the other.
 
@@ -55,13 +55,12 @@ def overfitting(spark: SparkSession, returns: DataFrame, blocks: int = 8) -> Dat
     """
     if blocks % 2 or blocks < 2:
         raise ValueError("blocks must be even")
-    halves = list(combinations(range(blocks), blocks // 2))
-    if len(halves) > MOST_PARTITIONS:
+    if comb(blocks, blocks // 2) > MOST_PARTITIONS:
         raise ValueError(f"more than {MOST_PARTITIONS} partitions")
     n = F.max("idx").over(W.partitionBy()) + 1
     block = F.least(F.floor(F.col("idx") * blocks / n), F.lit(blocks - 1)).cast("int")
     sums = returns.withColumn("block", block).groupBy("strategy", "block").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    masks = spark.range(len(halves)).select(F.col("id").alias("split"), F.element_at(F.array(*[F.lit(sum(1 << b for b in h)) for h in halves]), (F.col("id") + 1).cast("int")).alias("mask"))
+    masks = spark.range(1 << blocks).where(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"), F.col("id").alias("mask"))
     cells = sums.crossJoin(F.broadcast(masks))
     inside = F.getbit("mask", F.col("block")) == 1
 

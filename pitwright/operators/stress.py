@@ -26,7 +26,7 @@ def regime_features(index: DataFrame, *, window: int = WINDOW) -> DataFrame:
     return out.where("vol > 0").select("session_date", F.ln("vol").alias("log_vol"), "trend")
 
 
-def fit_mixture(x: np.ndarray, k: int, seed: int, *, restarts: int = 4, steps: int = 100) -> dict[str, np.ndarray]:
+def fit_mixture(x: np.ndarray, k: int, seed: int, *, restarts: int = 8, steps: int = 200) -> dict[str, np.ndarray]:
     """A Gaussian hidden Markov model with diagonal covariances by expectation and maximisation, the best of some
     seeded starts; states in order of their first mean."""
     best, most = {}, -math.inf

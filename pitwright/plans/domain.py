@@ -364,7 +364,7 @@ def a06(spark, sf):
 def a03(spark, sf):
     rows = features.with_returns(week(spark, sf)).where("ret is not null")
     cal = calendar.build(rows)
-    return evaluate.overfitting(spark, rows.join(cal, "session_date").select(F.col("symbol").alias("strategy"), F.col("session_idx").alias("idx"), "ret"), 8)
+    return evaluate.overfitting(spark, rows.join(cal, "session_date").select(F.col("symbol").alias("strategy"), F.col("session_idx").alias("idx"), "ret"))
 
 
 @query("a02_deflated_sharpe")
