@@ -404,14 +404,15 @@ def r08(spark, sf):
 def r09(spark, sf):
     order = W.orderBy("session_date")
     series = index(spark, sf).withColumn("ret", F.try_divide("close", F.lag("close").over(order)) - 1).where("ret is not null")
-    series = series.withColumn("session_idx", (F.row_number().over(order) - 1).cast("int")).where("session_idx < 60").select("session_idx", "ret")
-    return stress.battery(stress.gather(stress.bootstrap_paths(spark, 60, 50, 8.0, 42), series), ["path_id"])
+    series = series.withColumn("session_idx", (F.row_number().over(order) - 1).cast("int")).select("session_idx", "ret")
+    return stress.battery(stress.gather(stress.bootstrap_paths(spark, series.count(), 1000, 8.0, 42), series), ["path_id"])
 
 
 @query("r10_synthetic_panel")
 def r10(spark, sf):
     panel = week(spark, sf)
-    return stress.synthetic_panel(stress.bootstrap_paths(spark, 60, 4, 8.0, 42), panel, calendar.build(panel))
+    cal = calendar.build(panel)
+    return stress.synthetic_panel(stress.bootstrap_paths(spark, cal.count(), 100, 8.0, 42), panel, cal)
 
 
 @query("r12_fragility", sql("SELECT symbol, count(*) AS regimes, round(var_samp(s) / abs(avg(s)), 4) AS fragility FROM (SELECT symbol, year(session_date) AS state, avg(ret) / stddev_samp(ret) * sqrt(252) AS s FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 21 AND stddev_samp(ret) > 1e-12) GROUP BY symbol HAVING count(*) >= 2", RET))
