@@ -24,10 +24,22 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one under /tmp if all runs on
+    this machine, else an error: executors elsewhere would lose what they write there."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext.getCheckpointDir():
@@ -71,9 +83,7 @@ def map_texts(
     require_columns(df, text_col)
     names = {n for n, _ in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    inner = "__text"
-    while inner in df.columns:
-        inner += "_"
+    inner = fresh(df, "text")
     added = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
     schema = T.StructType([df.schema[c] for c in keep] + list(added))
     plain = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(inner))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, license, mixing, quality, simhash, spotsigs, suffix, tokenstore
+from . import bpe, chat, langid, license, mixing, oracles, quality, simhash, spotsigs, suffix, tokenstore
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -71,7 +71,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(docs).select(
         "doc_id",
         F.array_join("licenses", ",").alias("licenses"),
-        F.array_join("license_sentences.id", ",").alias("sentence_ids"),
+        F.array_join("paragraph_sentences.id", ",").alias("paragraph_ids"),
+        F.array_join("line_sentences.id", ",").alias("line_ids"),
         F.array_join(F.col("rules").cast("array<string>"), ",").alias("rules"),
     )
 
@@ -144,9 +145,11 @@ QUERIES = {
     "op10_spotsigs": op10_spotsigs,
 }
 
-#: For op4. SQL has no XXH64, SHA-256 of packed ids, tokenizers, suffix arrays or fitted profiles: the other queries are
-#: tested against brute force instead.
+#: SQL has no XXH64, packed ids, tokenizers, suffix arrays or fitted profiles: the other queries are tested against brute
+#: force instead.
 ORACLES: dict[str, str] = {
+    "op3_chat_format": oracles.CHAT,
+    "op5_license_scan": oracles.license_sql(),
     "op4_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
