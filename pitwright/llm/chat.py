@@ -1,28 +1,35 @@
 """Chat formatting: heterogeneous conversation layouts into one template with a loss mask.
 
-Layouts are recognised by fingerprint. The paths of the nested fields that some mapping knows and that a record
-holds (not null) are hashed together; a table of declarative mappings, keyed by that hash, tells how to read the
-record's turns. Canonical turns are then written in a template whose control strings are escaped inside roles and
-texts, so the formatted string can be read back exactly. All is DataFrame expressions.
+Layouts are recognised by fingerprint. For each declarative mapping the paths of its nested fields that a record holds
+(not null) are hashed together; a table keyed by that hash tells how well the mapping reads the record. Of the mappings
+that find something, the one with all its required paths is taken, of several or none such the one with the most
+required paths, then the most optional ones, then the first in MAPPINGS. Fields that it does not know play no part: a
+record of `prompt` and `messages` is read by its messages.
+
+Canonical turns are then written in a template whose control strings are escaped inside roles and texts, so the
+formatted string can be read back exactly. All is DataFrame expressions.
 
 Template of a turn:  <turn>ROLE<turn|>TEXT</turn>  and a newline. Escaping doubles each backslash and then puts one
 after the < of each "<turn" and "</turn" inside a text, so no marker occurs in an escaped text; unescaping drops each
 backslash and keeps what follows it.
 
-A record of no known layout has null turns and a null formatted string. Null texts are empty texts, a null role is
-the empty role, null turns of a list are left out; a record without turns gives an empty string.
+A record that holds no required path of any mapping has null turns and a null formatted string; unknown() counts them.
+Null texts are empty texts (a required part without a value is a turn with an empty text, an optional one gives no
+turn), a null role is the empty role, null turns of a list are left out; an empty list gives an empty string.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import chain, combinations
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 OPEN, BAR, CLOSE = "<turn>", "<turn|>", "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
 LOSS_ROLES = ("assistant",)
@@ -31,8 +38,8 @@ LOSS_ROLES = ("assistant",)
 @dataclass(frozen=True)
 class Mapping:
     """required and optional: paths, with [] for list elements. Either `turns` names a list and its role and text
-    fields, or `single` lists (role, path or paths to join by a blank line) in order; an absent optional part gives
-    no turn. roles: renamed roles."""
+    fields (a text of `parts[].text` is the parts' texts in a row), or `single` lists (role, path or paths to join by a
+    blank line) in order; an absent optional part gives no turn. roles: renamed roles."""
 
     name: str
     required: tuple[str, ...]
@@ -45,6 +52,7 @@ class Mapping:
 MAPPINGS = (
     Mapping("role_text", ("turns[].role", "turns[].text"), turns=("turns", "role", "text")),
     Mapping("messages", ("messages[].role", "messages[].content"), turns=("messages", "role", "content")),
+    Mapping("message_parts", ("messages[].role", "messages[].content[].text"), turns=("messages", "role", "content[].text")),
     Mapping("from_value", ("conversations[].from", "conversations[].value"), ("system",), turns=("conversations", "from", "value"), single=(("system", ("system",)),), roles=(("human", "user"), ("gpt", "assistant"))),
     Mapping("instruction", ("instruction", "output"), ("input", "system"), single=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Mapping("prompt_response", ("prompt", "response"), ("system",), single=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -63,10 +71,16 @@ def _paths(schema: T.DataType, at: str = "") -> dict[str, bool]:
 
 
 def _present(path: str) -> Column:
-    """True if the record holds the path: a value, or a list with an element that has the field."""
+    """True if the record holds the path: a value, or a list that is empty or has an element with the field."""
     if "[]." in path:
         head, field = path.split("[].", 1)
-        return F.coalesce(F.exists(F.col(f"`{head}`"), lambda x: x.getField(field).isNotNull()), F.lit(False)) | (F.size(F.col(f"`{head}`")) == 0)
+        whole = F.col(f"`{head}`")
+        if "[]." in field:
+            inner, leaf = field.split("[].", 1)
+            own = F.exists(whole, lambda x: F.coalesce(F.exists(x.getField(inner), lambda y: y.getField(leaf).isNotNull()), F.lit(False)))
+        else:
+            own = F.exists(whole, lambda x: x.getField(field).isNotNull())
+        return F.coalesce(own, F.lit(False)) | F.coalesce(F.size(whole) == 0, F.lit(False))
     return F.col(f"`{path}`").isNotNull()
 
 
@@ -74,22 +88,29 @@ def fingerprint_of(paths: Iterable[Column]) -> Column:
     return F.xxhash64(F.concat_ws("\n", *paths))
 
 
-def layouts(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[frozenset[str], Mapping]:
-    """The sets of known paths that a mapping reads: its required ones with any of its optional ones."""
-    out: dict[frozenset[str], Mapping] = {}
-    for m in mappings:
-        for chosen in chain.from_iterable(combinations(m.optional, n) for n in range(len(m.optional) + 1)):
-            out.setdefault(frozenset(m.required + chosen), m)
+def layouts(mappings: tuple[Mapping, ...], known: set[str]) -> list[tuple[int, tuple[str, ...], tuple[bool, int, int, int]]]:
+    """(number of the mapping, paths held, how well it reads them) of all sets of paths with a required one."""
+    out = []
+    for at, m in enumerate(mappings):
+        own = [p for p in m.required + m.optional if p in known]
+        for n in range(1, len(own) + 1):
+            for held in combinations(own, n):
+                need = sum(p in held for p in m.required)
+                if need:
+                    out.append((at, held, (need == len(m.required), need, n - need, -at)))
     return out
 
 
-def _turns(m: Mapping, have: set[str]) -> Column:
+def _turns(m: Mapping, known: set[str]) -> Column:
     parts = []
+    empty = F.array().cast(TURNS)
     for role, paths in m.single:
-        own = [F.col(f"`{p}`") for p in paths if p in have]
-        if own:
-            text = F.concat_ws("\n\n", *own)
-            parts.append(F.array(F.struct(F.lit(role).alias("role"), text.alias("text"))))
+        own = [F.col(f"`{p}`") for p in paths if p in known]
+        turn = F.array(F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *own).alias("text"))).cast(TURNS)
+        if any(p in m.required for p in paths):
+            parts.append(turn)
+        elif own:
+            parts.append(F.when(F.coalesce(*own).isNotNull(), turn).otherwise(empty))
     if m.turns:
         head, role, text = m.turns
         given = F.filter(F.col(f"`{head}`"), lambda x: x.isNotNull())
@@ -97,27 +118,48 @@ def _turns(m: Mapping, have: set[str]) -> Column:
         if m.roles:
             names = F.create_map(*[F.lit(v) for pair in m.roles for v in pair])
             renamed = lambda x: F.coalesce(F.try_element_at(names, x.getField(role)), x.getField(role))
-        parts.append(F.transform(given, lambda x: F.struct(F.coalesce(renamed(x), F.lit("")).alias("role"), F.coalesce(x.getField(text), F.lit("")).alias("text"))))
+        if f"{head}[].{role}" not in known:
+            renamed = lambda x: F.lit(None).cast("string")
+        said = lambda x: x.getField(text)
+        if "[]." in text:
+            inner, leaf = text.split("[].", 1)
+            said = lambda x: F.array_join(F.transform(x.getField(inner), lambda y: y.getField(leaf)), "")
+        if f"{head}[].{text}" not in known:
+            said = lambda x: F.lit(None).cast("string")
+        parts.append(F.coalesce(F.transform(given, lambda x: F.struct(F.coalesce(renamed(x), F.lit("")).alias("role"), F.coalesce(said(x), F.lit("")).alias("text"))).cast(TURNS), empty))
     return F.concat(*parts).cast(TURNS)
 
 
-def canonical(df: DataFrame, *, mappings: tuple[Mapping, ...] = MAPPINGS, prefix: str = "") -> DataFrame:
-    """df with layout (the hash of its known paths), mapping (its name) and turns.
+def canonical(df: DataFrame, *, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """df with layout (the hash of the mapping's paths that the record holds), mapping (its name) and turns_out.
 
     Paths are looked for by name in the schema of df, and must be strings; other columns play no part. Columns
     named layout, mapping or turns_out are replaced.
     """
-    known = sorted({p for m in mappings for p in m.required + m.optional})
     strings = {p for p, is_string in _paths(df.schema).items() if is_string}
-    known = [p for p in known if p in strings and p.count("[]") <= 1]
-    held = fingerprint_of([F.when(_present(p), F.lit(p)) for p in known]) if known else F.xxhash64(F.lit(""))
-    possible = {s: m for s, m in layouts(mappings).items() if s <= set(known)}
+    known = strings & {p for m in mappings for p in m.required + m.optional}
+    table = layouts(mappings, known)
+    none = df.withColumn("layout", F.lit(None).cast("bigint")).withColumn("mapping", F.lit(None).cast("string")).withColumn("turns_out", F.lit(None).cast(TURNS))
+    if not table:
+        return none
+    marked = lambda at, held: fingerprint_of([F.lit(mappings[at].name), *held])
+    rank = F.create_map(*[x for at, held, (whole, need, more, turn) in table for x in (marked(at, [F.lit(p) for p in held]), F.struct(F.lit(whole).alias("whole"), F.lit(need).alias("need"), F.lit(more).alias("more"), F.lit(turn).alias("turn")))])
+    asked = sorted({at for at, _, _ in table})
+    held = [marked(at, [F.when(_present(p), F.lit(p)) for p in mappings[at].required + mappings[at].optional if p in known]) for at in asked]
+    choice, best = fresh(df, "choice"), fresh(df, "best")
+    out = df.withColumn(choice, F.transform(F.array(*held), lambda h: F.struct(F.try_element_at(rank, h).alias("rank"), h.alias("layout"))))
+    out = out.withColumn(best, F.array_max(F.filter(F.col(choice), lambda c: c["rank"].isNotNull())))
+    at = -F.col(best)["rank"]["turn"]
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for have, m in possible.items():
-        own = F.col("layout") == fingerprint_of([F.lit(p) for p in sorted(have)])
-        name = F.when(own, F.lit(m.name)).otherwise(name)
-        turns = F.when(own, _turns(m, set(have))).otherwise(turns)
-    return df.withColumn("layout", held).withColumn("mapping", name).withColumn("turns_out", turns)
+    for i in asked:
+        name = F.when(at == i, F.lit(mappings[i].name)).otherwise(name)
+        turns = F.when(at == i, _turns(mappings[i], known)).otherwise(turns)
+    return out.withColumn("layout", F.col(best)["layout"]).withColumn("mapping", name).withColumn("turns_out", turns).drop(choice, best)
+
+
+def unknown(df: DataFrame) -> DataFrame:
+    """(records, unknown) of canonical(): how many there are, and how many no mapping reads."""
+    return df.agg(F.count("*").alias("records"), F.count_if(F.col("mapping").isNull()).alias("unknown"))
 
 
 def escape(text: Column) -> Column:
@@ -136,7 +178,8 @@ def format_turns(df: DataFrame, *, turns_col: str = "turns_out", loss_roles: tup
     have spans of length 0.
     """
     escaped = F.transform(F.col(turns_col), lambda x: F.struct(x["role"].alias("role"), escape(x["role"]).alias("head"), escape(x["text"]).alias("body")))
-    pieces = F.transform(F.col("__turns"), lambda x: F.concat(F.lit(OPEN), x["head"], F.lit(BAR), x["body"], F.lit(CLOSE)))
+    inner = fresh(df, "turns")
+    pieces = F.transform(F.col(inner), lambda x: F.concat(F.lit(OPEN), x["head"], F.lit(BAR), x["body"], F.lit(CLOSE)))
     loss = lambda x: x["role"].isin(*loss_roles)
     fixed = len(OPEN) + len(BAR)
     number = lambda c: c.cast("bigint")
@@ -152,9 +195,9 @@ def format_turns(df: DataFrame, *, turns_col: str = "turns_out", loss_roles: tup
         )
 
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("byte_at"), empty.alias("spans"))
-    staged = df.withColumn("__turns", escaped)
-    out = staged.withColumn("formatted", F.array_join(pieces, "")).withColumn("loss_spans", F.aggregate(F.col("__turns"), zero, add, lambda s: s["spans"]))
-    return out.drop("__turns")
+    staged = df.withColumn(inner, escaped)
+    out = staged.withColumn("formatted", F.array_join(pieces, "")).withColumn("loss_spans", F.aggregate(F.col(inner), zero, add, lambda s: s["spans"]))
+    return out.drop(inner)
 
 
 def parse(formatted: Column) -> Column:

@@ -38,6 +38,9 @@ from .mph import MinimalPerfectHash, mix
 
 MEMO_ENTRIES = 500_000
 MEMO_KEY = 64
+#: Bytes that are read at once, and between two documents that are still read together.
+READ = 4 << 20
+GAP = 1 << 16
 #: Words whose ids are those of their letters (Latin-1, so that composing changes nothing and lower case is one letter
 #: for one), lower-cased, and then those of their last sign.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -56,7 +59,8 @@ _LETTERS = _byte_letters()
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer file of the tokenizers library, without special tokens.
+    """Ids of texts as a tokenizer file of the tokenizers library gives them, adding no special tokens. Strings of the
+    file's added tokens become those tokens, as in the library.
 
     Only for tokenizers that drop white space and take what stands between it by itself: each word is encoded once
     while it stays in a bounded memo.
@@ -67,7 +71,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {}
@@ -187,6 +190,24 @@ def _put(fs: pafs.FileSystem, path: str, data_at: str) -> None:
         fs.move(data_at, path)
 
 
+def _read_ranges(file: pa.NativeFile, start: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> list[bytes | None]:
+    """Bytes of each wanted range. Ranges near one another are read at once."""
+    out: list[bytes | None] = [None] * len(start)
+    rows = np.flatnonzero(wanted)
+    rows = rows[np.argsort(start[rows], kind="stable")]
+    i = 0
+    while i < len(rows):
+        low, high, j = int(start[rows[i]]), int(start[rows[i]] + size[rows[i]]), i + 1
+        while j < len(rows) and start[rows[j]] - high <= GAP and start[rows[j]] + size[rows[j]] - low <= READ:
+            high = max(high, int(start[rows[j]] + size[rows[j]]))
+            j += 1
+        whole = file.read_at(high - low, low)
+        for r in rows[i:j].tolist():
+            out[r] = whole[int(start[r]) - low : int(start[r] + size[r]) - low]
+        i = j
+    return out
+
+
 @dataclass(frozen=True)
 class TokenStore:
     """A written store: uri of its folder, and its manifest (a line for each shard)."""
@@ -242,7 +263,7 @@ class TokenStore:
                             now, file = s, fs.open_input_file(f"{folder}/{names[s]}.bin")
                         found, at, n = index.find(k[rows], null[rows], number[rows])
                         starts = [base[s] + a if ok else None for ok, a in zip(found.tolist(), at.tolist())]
-                        ids = [file.read_at(c * width, a * width) if ok else None for ok, a, c in zip(found.tolist(), at.tolist(), n.tolist())]
+                        ids = _read_ranges(file, at * width, n * width, found)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(rows)), pa.array(number[rows]), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["key", "number", "start", "ids"]
                     )
@@ -250,7 +271,8 @@ class TokenStore:
                 file.close()
 
         routed = keys.select(F.col(key_col).cast("bigint").alias("key")).mapInArrow(route, "key bigint, shard bigint")
-        placed = routed.repartition("shard").sortWithinPartitions("shard", "key")
+        # A number of partitions of its own: by the small keys alone, all shards would be put into few tasks.
+        placed = routed.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "key")
         return placed.mapInArrow(fetch, "key bigint, number bigint, start bigint, ids binary")
 
 

@@ -29,6 +29,12 @@ def test_layouts_are_recognised_by_their_paths(spark, tmp_path):
         {"id": 6, "question": "q", "answer": "a", "context": "c"},
         {"id": 7, "unknown": "u"},
         {"id": 8, "messages": [{"role": None, "content": None}, {"role": "assistant", "content": "<turn>\\</turn>\n"}]},
+        {"id": 9, "prompt": "p", "messages": [{"role": "user", "content": "a"}]},
+        {"id": 10, "instruction": "do", "output": None},
+        {"id": 11, "messages": [{"role": "user", "content": None}, {"role": "assistant", "content": None}]},
+        {"id": 12, "messages": []},
+        {"id": 13, "prompt": "p", "completion": "c", "instruction": "i"},
+        {"id": 14, "__turns": 5, "__choice": 6, "question": "q"},
     ]
     path = tmp_path / "records.json"
     path.write_text("\n".join(map(json.dumps, records)))
@@ -44,6 +50,13 @@ def test_layouts_are_recognised_by_their_paths(spark, tmp_path):
     assert turns[6] == [("user", "c\n\nq"), ("assistant", "a")]
     assert turns[7] is None and got[7].formatted is None
     assert turns[8] == [("", ""), ("assistant", "<turn>\\</turn>\n")]
+    assert turns[9] == [("user", "a")] and got[9].mapping == "messages"
+    assert turns[10] == [("user", "do"), ("assistant", "")]
+    assert turns[11] == [("user", ""), ("assistant", "")]
+    assert turns[12] == [] and got[12].formatted == ""
+    assert turns[13] == [("user", "p"), ("assistant", "c")]
+    assert turns[14] == [("user", "q"), ("assistant", "")] and (got[14]["__turns"], got[14]["__choice"]) == (5, 6)
+    assert tuple(chat.unknown(out).first()) == (14, 1)
     assert {got[i].mapping for i in (3, 4)} == {"instruction"} and got[3].layout != got[4].layout
     for i, r in got.items():
         if i != 7:
@@ -53,6 +66,15 @@ def test_layouts_are_recognised_by_their_paths(spark, tmp_path):
                 assert r.formatted[s.start : s.start + s.length].encode() == r.formatted.encode()[s.byte_start : s.byte_start + s.byte_length]
 
 
+def test_parts_of_messages(spark, tmp_path):
+    path = tmp_path / "parts.json"
+    path.write_text(json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "text": None}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": None}]}))
+    [row] = chat.format_turns(chat.canonical(spark.read.json(str(path)))).collect()
+    assert [tuple(t) for t in row.turns_out] == [("user", "ab"), ("assistant", "")] and row.mapping == "message_parts"
+    none = chat.format_turns(chat.canonical(spark.createDataFrame([(1,)], "x int"))).first()
+    assert none.turns_out is None and none.formatted is None
+
+
 def test_odd_rows(spark):
     nasty = ["", "\\", "<", "<turn", "</turn>", "<turn|>", "\\<\\/turn>", "é🎉<\\turn", "a\n</turn>\n<turn>", "x" * 50_000]
     rows = [(1, i, "assistant" if i % 2 else "<turn|>", t) for i, t in enumerate(nasty)] + [(1, 0, "<turn|>", "")] + [(2, None, None, None), (None, 1, "user", "a"), (None, None, "user", "b")]

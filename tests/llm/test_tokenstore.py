@@ -11,7 +11,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def plain_ids(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids + [2] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -26,7 +25,7 @@ def test_query_equals_whole_text_encoding(spark, sample):
 
 
 def test_words_equal_whole_texts():
-    texts = ["don't STOP. I'LL go, 's x's", "É è́ Straße İ ΑΣ", "ÀÉÎÕÜ ÿ þÐ ß× ÷a ªº µm, Ångström. é", "tab\tnew\nline\r\x0b\x0c", "a b\x1cc　d", "<|endoftext|> hi", "x.y,z.. a., 12a 3.4", "́ lone", "w" * 500 + " w"]
+    texts = ["don't STOP. I'LL go, 's x's", "É è́ Straße İ ΑΣ", "ÀÉÎÕÜ ÿ þÐ ß× ÷a ªº µm, Ångström. é", "tab\tnew\nline\r\x0b\x0c", "a b\x1cc　d", "<|endoftext|> hi", "<|startoftext|>", "a <|endoftext|> b", "x<|startoftext|>y<|ENDOFTEXT|>.<|endoftext|>", "é<|endoftext|>́ e", "x.y,z.. a., 12a 3.4", "́ lone", "w" * 500 + " w"]
     encoder = tokenstore.WordEncoder(PATH)
     assert [np.frombuffer(p, encoder.dtype).tolist() + [2] for p in encoder.encode(texts)] == plain_ids(texts)
 
