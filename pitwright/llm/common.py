@@ -83,10 +83,10 @@ def map_texts(
     require_columns(df, text_col)
     names = {n for n, _ in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    inner = fresh(df, "text")
+    inner = text_col if text_col in keep else fresh(df, "text")
     added = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
     schema = T.StructType([df.schema[c] for c in keep] + list(added))
-    plain = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(inner))
+    plain = df.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(f"`{text_col}`").alias(inner)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -95,7 +95,7 @@ def map_texts(
         try:
             for batch in batches:
                 for part in slices(batch, inner):
-                    made = kernel(part.column(inner).to_pylist())
+                    made = kernel(pc.fill_null(part.column(inner), "").to_pylist())
                     columns = [part.column(c).cast(out.field(c).type) for c in keep]
                     columns += [pa.array(v, type=out.field(len(keep) + i).type) for i, v in enumerate(made)]
                     yield pa.RecordBatch.from_arrays(columns, schema=out)

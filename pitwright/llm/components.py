@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 MAX_ROUNDS = 60
+#: Tasks that the edges of one node are dealt to.
+SALTS = 32
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Each edge (u, v) with m, the least neighbour of u. The minimum is taken before the join, so a hot u is cheap."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u")
+    """Each edge (u, v) with m, the least neighbour of u. The minimum is taken before the join, and the join is salted
+    by v, so that the edges of a hub are dealt to SALTS tasks."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

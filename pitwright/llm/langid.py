@@ -28,7 +28,8 @@ from .common import map_texts, require_columns, slices
 N = 3
 PROFILE = 400
 DOCUMENT = 300
-#: Languages of a model; more are an error, so that what is broadcast stays within languages * PROFILE n-grams.
+#: Languages of a model. They are counted first and more are an error, so what the driver gets and what is broadcast stay
+#: within languages * PROFILE n-grams.
 LANGUAGES = 2000
 _BITS = 21
 _SPACE = 32
@@ -86,6 +87,9 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", pr
     require_columns(rows, text_col, lang_col)
     plain = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
+    if (found := plain.select("lang").distinct().count()) > LANGUAGES:
+        raise ValueError(f"{found} languages; at most {LANGUAGES} can be learned")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -104,10 +108,7 @@ def train(rows: DataFrame, *, text_col: str = "text", lang_col: str = "lang", pr
     shares = sums.withColumn("share", F.pmod(F.xxhash64("code"), F.lit(64)))
     first = shares.withColumn("place", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).where(F.col("place") <= profile)
     best = first.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("place") <= profile)
-    got = best.select("lang", "code", "place").toPandas()
-    if got["lang"].nunique() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    return got
+    return best.select("lang", "code", "place").toPandas()
 
 
 class Profiles:

@@ -8,7 +8,8 @@ documents' cells (source and prior), distributed by source.
 
 Rates are then rounded into whole copies: within a source and a bucket of document hashes, from the largest document
 to the smallest, what one rounding leaves over is passed to the next document. So a bucket misses its target by about
-half of its smallest documents, and no group larger than a bucket meets in one task.
+half of its smallest documents, and no group larger than a bucket meets in one task. Documents of one id and size are
+told apart by a hash of their texts (the column salt); what is equal in all of these shares a bucket.
 
 A null text has size 0. A null source is a source of its own, the last. Documents of size 0 are taken once if the rate
 of their source is at least one half. Repeated rows are documents of their own.
@@ -29,7 +30,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 #: Documents of a bucket on average; rounding takes a bucket at a time.
-BUCKET = 20_000
+BUCKET = 1_000
 TOLERANCE = 1e-10
 MAX_STEPS = 60
 #: Lambdas are sought between minus and plus this.
@@ -103,7 +104,7 @@ def balance(cells: DataFrame, targets: DataFrame, *, most: float = MOST) -> Data
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     """Copies of a bucket's documents, largest first, each rounding passing on what it leaves over."""
-    pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable")
+    pdf = pdf.sort_values(["size", "id", "salt"], ascending=[False, True, True], kind="stable")
     copies, left = [], 0.0
     for size, rate, most in zip(pdf["size"].tolist(), pdf["rate"].tolist(), pdf["most"].tolist()):
         if size <= 0:
@@ -113,15 +114,15 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
         n = max(0, min(int(most), math.floor(want / size + 0.5)))
         left = want - n * size
         copies.append(n)
-    return pdf.assign(copies=copies)[["id", "source", "size", "source_size", "target", "rate", "copies"]]
+    return pdf.assign(copies=copies)[["id", "source", "size", "source_size", "target", "rate", "copies", "salt"]]
 
 
 def mix(sizes: DataFrame, targets: DataFrame, *, most: float = MOST, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies) for each row of sizes (doc_id, source, size; prior if
-    given, else 1). targets: (source, source_size, target)."""
+    """(doc_id, source, size, source_size, target, rate, copies, salt) for each row of sizes (doc_id, source, size; prior
+    if given, else 1; salt if given, else 0). targets: (source, source_size, target)."""
     require_columns(sizes, "doc_id", "source", "size")
     targets = checkpointed(targets)
-    rows = sizes.select("doc_id", "source", "size", F.col("prior") if "prior" in sizes.columns else F.lit(1.0).alias("prior"))
+    rows = sizes.select("doc_id", "source", "size", F.col("prior") if "prior" in sizes.columns else F.lit(1.0).alias("prior"), F.col("salt") if "salt" in sizes.columns else F.lit(0).cast("bigint").alias("salt"))
     cells = rows.groupBy("source", "prior").agg(F.sum("size").cast("double").alias("size"), F.count("*").alias("n"))
     cells = checkpointed(cells)
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
@@ -140,14 +141,15 @@ def mix(sizes: DataFrame, targets: DataFrame, *, most: float = MOST, bucket: int
         "target",
         rate.alias("rate"),
         F.lit(float(most)).alias("most"),
-        F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / bucket)).alias("bucket"),
+        "salt",
+        F.pmod(F.xxhash64("doc_id", "size", "salt"), F.ceil(F.col("n") / bucket)).alias("bucket"),
     )
-    schema = "id string, source string, size bigint, source_size bigint, target double, rate double, copies bigint"
+    schema = "id string, source string, size bigint, source_size bigint, target double, rate double, copies bigint, salt bigint"
     rounded = ready.groupBy("source", "bucket").applyInPandas(_round, schema)
     return rounded.withColumn("id", F.col("id").cast(sizes.schema["doc_id"].dataType)).withColumnRenamed("id", "doc_id")
 
 
 def mix_documents(df: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """mix() of documents (doc_id, text, source) with source_targets()."""
-    sizes = checkpointed(df.select("doc_id", "source", words().alias("size")))
+    sizes = checkpointed(df.select("doc_id", "source", words().alias("size"), F.xxhash64("text").alias("salt")))
     return mix(sizes, source_targets(sizes, weights=weights, share=share, most=most), most=most)

@@ -4,8 +4,16 @@ Candidates are found by MinHash: BANDS bands of ROWS least values each; texts of
 probability 1 - (1 - j ** ROWS) ** BANDS, which is 0.999997 at 0.8 whatever the length of the texts. A candidate
 becomes a link only if the exact likeness of the two sets is high enough.
 
-A band's group of up to ALL texts gives all its pairs. A larger one gives the edges of a spanning tree of least
-SimHash distances, so pairs grow with the group and not with its square.
+Links are made in two rounds, so that large groups of near copies cost nothing like the square of their size:
+
+1. A band's group of up to ALL texts gives all its pairs. A larger one gives edges of spanning trees of least SimHash
+   distances, of blocks of its texts together with a few of its first ones. After exact verification most such groups
+   are one component.
+2. In the larger groups that are not, all pairs of texts of different components are looked at, in blocks of SIDE texts
+   a side. Those whose BANDS * ROWS least values agree in AGREE places at least are verified too; a pair of likeness
+   0.8 agrees in fewer with a probability of about 0.000002, so what the bands find is not lost again.
+
+Texts are told apart by a 64-bit hash (node); a text without words has no band and no links.
 """
 
 from __future__ import annotations
@@ -19,120 +27,224 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_texts
-from .simhash import fingerprint_of, shingle_hashes
+from .simhash import fingerprint_of, rooted, shingle_hashes
 
 BANDS = 24
 ROWS = 4
 ALL = 64
+BLOCK = 2048
+SIDE = 2048
+AGREE = 57
+#: Rows of one group that a task holds; and pairs that are looked at together.
+HELD = 1 << 16
+PAIRS = 1 << 18
 AT_LEAST = 0.8
 _rng = np.random.default_rng(42)
 _TIMES = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """Keys of the bands of a set of hashes; none for an empty set."""
-    if not len(hashes):
-        return []
+def least_values(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1 << 12):
         np.minimum(least, (hashes[None, i : i + (1 << 12)] * _TIMES + _PLUS).min(axis=1), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """Keys of the bands."""
     rows = least.reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
-def sketches(df: DataFrame, *, shingle: int, keep: list[str]) -> DataFrame:
-    """The columns keep, fp and bands."""
+def sketches(df: DataFrame, *, shingle: int, keep: list[str], names: tuple[str, ...] = ("node", "fp", "bands", "sketch")) -> DataFrame:
+    """The columns keep, and under these names the hash of the text, its fingerprint, the keys of the bands (none for a
+    text without words) and the last bytes of the least values."""
 
     def kernel(texts: list[str]) -> list[list]:
-        hashes = [shingle_hashes(t, shingle) for t in texts]
-        fps = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64).tolist()
-        return [fps, [bands(np.unique(h)) for h in hashes]]
+        nodes, fps, keys, lasts = [], [], [], []
+        for t in texts:
+            nodes.append(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")))
+            hashes = shingle_hashes(t, shingle)
+            fps.append(fingerprint_of(hashes))
+            least = least_values(np.unique(hashes))
+            keys.append(bands(least) if len(hashes) else [])
+            lasts.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+        signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
+        return [signed(nodes), signed(fps), keys, lasts]
 
-    return map_texts(df, kernel, [("fp", "bigint"), ("bands", "array<bigint>")], keep=keep)
+    fields = list(zip(names, ("bigint", "bigint", "array<bigint>", "binary")))
+    return map_texts(df, kernel, fields, keep=keep)
 
 
 def tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning tree of least distances, in memory that is linear in their number."""
-    left, n = fps[1:].copy(), len(fps) - 1
-    near = np.full(n, fps[0], np.uint64)
+    """Edges (places in fps) of a spanning tree of least distances, in memory that is linear in their number."""
+    n = len(fps) - 1
+    left, at = fps[1:].copy(), np.arange(1, n + 1)
+    near = np.zeros(n, np.int64)
     far = np.bitwise_count(left ^ fps[0])
-    a, b = np.empty(n, np.uint64), np.empty(n, np.uint64)
+    a, b = np.empty(n, np.int64), np.empty(n, np.int64)
     for k in range(n):
         m = n - k
         i = int(far[:m].argmin())
-        now = a[k] = left[i]
-        b[k] = near[i]
-        for x in (left, near, far):
+        now = left[i]
+        a[k], b[k] = at[i], near[i]
+        for x in (left, at, near, far):
             x[i] = x[m - 1]
         d = np.bitwise_count(left[: m - 1] ^ now)
         closer = d < far[: m - 1]
         far[: m - 1][closer] = d[closer]
-        near[: m - 1][closer] = now
+        near[: m - 1][closer] = a[k]
     return a, b
 
 
-def candidates(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs (u < v) of fingerprints of equal keys; keys are sorted and whole."""
+def trees(nodes: np.ndarray, fps: np.ndarray, first: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the trees of blocks of nodes, each together with `first` (nodes and their fingerprints)."""
+    step = BLOCK - len(first[0])
+    out = []
+    for i in range(0, len(nodes), step):
+        own = np.r_[first[0], nodes[i : i + step]]
+        a, b = tree(np.r_[first[1], fps[i : i + step]])
+        out.append((own[a], own[b]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    both = both[:, both[0] != both[1]]
+    return both[0], both[1]
+
+
+def candidates(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (u < v) of nodes of equal keys; keys are sorted and whole."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    first, second = [fps[:0]], [fps[:0]]
+    first, second = [nodes[:0]], [nodes[:0]]
     for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-        own = fps[s : s + n]
+        own = nodes[s : s + n]
         if n <= ALL:
             i, j = np.triu_indices(n, 1)
             a, b = own[i], own[j]
         else:
-            a, b = tree(own)
+            bits = fps[s : s + n]
+            a, b = trees(own[ALL:], bits[ALL:], (own[:ALL], bits[:ALL]))
         first.append(a)
         second.append(b)
-    a, b = np.concatenate(first).view(np.int64), np.concatenate(second).view(np.int64)
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return both[0], both[1]
+    return _ordered(np.concatenate(first), np.concatenate(second))
 
 
 def pairs(distinct: DataFrame) -> DataFrame:
-    """Candidates (u, v) of distinct (fp, bands)."""
+    """Candidates (u, v) of the first round, of distinct (node, fp, bands)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush(last: bool) -> pa.RecordBatch:
-            nonlocal keys, fps, waiting
-            k = np.concatenate([keys, *[w[0] for w in waiting]])
-            f = np.concatenate([fps, *[w[1] for w in waiting]])
-            waiting = []
+        none = np.zeros(0, np.int64)
+        held = none, none, none.view(np.uint64)
+        waiting: list[tuple[np.ndarray, ...]] = []
+        #: The key of a group that is too large to be held, and its first nodes and fingerprints.
+        long: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
+
+        def flush(last: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+            nonlocal held, waiting, long
+            k, node, fp = (np.concatenate(c) for c in zip(held, *waiting))
+            waiting, out = [], []
+            if long is not None and len(k):
+                end = int(np.searchsorted(k, long[0], "right"))
+                if end:
+                    out.append(_ordered(*trees(node[:end], fp[:end], long[1])))
+                if end < len(k):
+                    long = None
+                k, node, fp = k[end:], node[end:], fp[end:]
             cut = len(k) if last else int(np.searchsorted(k, k[-1])) if len(k) else 0
-            keys, fps = k[cut:], f[cut:]
-            u, v = candidates(k[:cut], f[:cut]) if cut else (k[:0], k[:0])
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            if cut:
+                out.append(candidates(k[:cut], node[:cut], fp[:cut]))
+            held = k[cut:], node[cut:], fp[cut:]
+            if len(held[0]) > HELD:
+                _, node, fp = held
+                long = int(held[0][0]), (node[:ALL], fp[:ALL])
+                out.append(_ordered(*trees(node[ALL:], fp[ALL:], long[1])))
+                held = tuple(x[:0] for x in held)
+            return out
+
+        def batch_of(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
 
         for batch in batches:
-            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
-            if sum(len(w[0]) for w in waiting) >= max(1 << 17, len(keys)):
-                yield flush(False)
-        yield flush(True)
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)))
+            if sum(len(w[0]) for w in waiting) >= 1 << 17:
+                yield from map(batch_of, flush(False))
+        yield from map(batch_of, flush(True))
 
-    spread = distinct.select(F.explode("bands").alias("key"), "fp")
+    spread = distinct.select(F.explode("bands").alias("key"), "node", "fp")
     return spread.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u bigint, v bigint").distinct()
 
 
-def links(docs: DataFrame, distinct: DataFrame, *, shingle: int, at_least: float = AT_LEAST) -> DataFrame:
-    """Verified links (u, v) among the fingerprints of docs (text); distinct has fp and bands of each."""
+def across(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u < v) of different roots that agree in AGREE places; left and right: (node, root, sketch rows)."""
+    out = [(left[0][:0], left[0][:0])]
+    step = max(1, PAIRS // max(1, len(right[0])))
+    for i in range(0, len(left[0]), step):
+        a, b = np.nonzero(left[1][i : i + step, None] != right[1][None])
+        for j in range(0, len(a), PAIRS):
+            x, y = a[j : j + PAIRS] + i, b[j : j + PAIRS]
+            alike = (left[2][x] == right[2][y]).sum(axis=1) >= AGREE
+            out.append((left[0][x[alike]], right[0][y[alike]]))
+    return _ordered(np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out]))
+
+
+def rest(groups: DataFrame) -> DataFrame:
+    """Candidates (u, v) of the second round, of groups (node, root, bands, sketch)."""
+    spread = groups.select(F.explode("bands").alias("key"), "node", "root")
+    large = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > ALL) & (F.col("low") != F.col("high")))
+    members = spread.join(large.select("key", "n"), "key").join(groups.select("node", "sketch"), "node")
+    blocks = F.ceil(F.col("n") / SIDE).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch")
 
-    def kernel(texts: list[str]) -> list[list]:
-        hashes = [shingle_hashes(t, shingle) for t in texts]
-        fps = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64).tolist()
-        return [fps]
-
-    def sets(texts: list[str]) -> list[list]:
-        return [[np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in texts]]
-
-    found = checkpointed(pairs(distinct))
-    ends = found.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    texts = map_texts(docs.select("text"), kernel, [("fp", "bigint")], keep=["text"]).join(ends, "fp", "left_semi")
-    whole = checkpointed(map_texts(texts.groupBy("fp").agg(F.min("text").alias("text")), sets, [("words", "array<bigint>")], keep=["fp"]))
-    both = found.join(whole.select(F.col("fp").alias("u"), F.col("words").alias("a")), "u").join(whole.select(F.col("fp").alias("v"), F.col("words").alias("b")), "v")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def flush() -> pa.RecordBatch:
+            side, node, root, sketch = zip(*held)
+            arrays = np.array(node, np.int64), np.array(root, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
+            side = np.array(side)
+            left, right = (tuple(x[side == s] for x in arrays) for s in (now[1], now[2]))
+            u, v = across(left, right)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for batch in batches:
+            for key, i, j, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if now != (key, i, j):
+                    if held:
+                        yield flush()
+                    held, now = [], (key, i, j)
+                held.append(tuple(row))
+        if held:
+            yield flush()
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u bigint, v bigint").distinct()
+
+
+def verified(found: DataFrame, texts: DataFrame, *, shingle: int, at_least: float) -> DataFrame:
+    """Those of found (u, v) whose texts (node, text) are alike."""
+
+    def sets(batch: list[str]) -> list[list]:
+        return [[np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in batch]]
+
+    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    one = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    whole = checkpointed(map_texts(one, sets, [("words", "array<bigint>")], keep=["node"]))
+    both = found.join(whole.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common >= at_least * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def links(texts: DataFrame, distinct: DataFrame, known: DataFrame, *, shingle: int, at_least: float = AT_LEAST) -> DataFrame:
+    """Verified links (u, v) that join, together with known (u, v), all nodes that near copies join. texts: (node,
+    text); distinct: (node, fp, bands, sketch), a row for each node."""
+    first = checkpointed(verified(checkpointed(pairs(distinct)), texts, shingle=shingle, at_least=at_least))
+    groups = checkpointed(rooted(distinct.select("node", "bands", "sketch"), known.unionByName(first), key="node"))
+    more = checkpointed(rest(groups))
+    if not more.limit(1).count():
+        return first
+    return first.unionByName(checkpointed(verified(more, texts, shingle=shingle, at_least=at_least)))

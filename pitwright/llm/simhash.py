@@ -7,6 +7,9 @@ fingerprint at t or fewer bits could have as its nearest: changing the majority
 flips, and those of all changed blocks add up to t at most. So two linked fingerprints meet at the nearest anchor of
 each of them, and only fingerprints of the same anchor are compared.
 
+Where very many fingerprints meet at an anchor, they are dealt out once more, by the same code over other bits (each
+block takes every blocks-th bit instead of neighbouring ones), and compared at the anchors of both codes.
+
 Equal fingerprints are one row before anything is replicated, so groups of copies cost nothing. Links leave a task as
 stars over its own components, never as all pairs of a group.
 """
@@ -29,9 +32,14 @@ BITS = 64
 SEED = 42
 THRESHOLD = 2
 SHINGLE = 3
-#: Pairs that are compared at once, and beyond which an anchor's fingerprints are linked by shared neighbours instead.
+#: Blocks of the covering code: 2 ** BLOCKS anchors. The more anchors, the fewer fingerprints meet at each, and the more
+#: replicas each has.
+BLOCKS = 16
+#: Pairs that are compared at once; those of an anchor beyond which the second code deals its fingerprints out; and
+#: replicas that are held at once then.
 PAIRS = 1 << 22
-DENSE = 1 << 24
+CROWD = 1 << 24
+HELD = 1 << 22
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -76,12 +84,6 @@ def fingerprints(df: DataFrame, *, shingle: int = SHINGLE, text_col: str = "text
     return map_texts(df, kernel, [(fp_col, "bigint")], text_col=text_col, keep=keep)
 
 
-def block_count(n: int) -> int:
-    """Blocks of the covering code for n distinct fingerprints: 2 ** blocks anchors. The more anchors, the fewer
-    fingerprints meet at each, and the more replicas each has."""
-    return 16 if n <= 1 << 26 else 21
-
-
 def _code(blocks: int) -> list[tuple[int, int, int]]:
     """(shift, mask, majority) of each block."""
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
@@ -130,32 +132,48 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _dense(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links by shared neighbours: two fingerprints are within an even threshold if and only if they have a common one
-    within half of it. Linear in their number."""
-    keys, owner = [fps], [fps]
-    for size in range(1, threshold // 2 + 1):
-        for chosen in combinations(range(BITS), size):
-            keys.append(fps ^ np.uint64(sum(1 << b for b in chosen)))
-            owner.append(fps)
-    keys, owner = np.concatenate(keys), np.concatenate(owner)
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    same = keys[1:] == keys[:-1]
-    return stars(owner[:-1][same], owner[1:][same])
+def transposed(fps: np.ndarray, blocks: int) -> np.ndarray:
+    """The fingerprints with their bits in another order: bit i, i + blocks, i + 2 blocks, ... become neighbours."""
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    order = np.concatenate([np.arange(b, BITS, blocks) for b in range(blocks)])
+    return np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little")).view("<u8").reshape(-1)
+
+
+def _crowd(fps: np.ndarray, blocks: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Star links among fingerprints that all meet at one anchor, by the second code: replicas to its anchors in parts
+    that fit, each compared like the anchors of the first code."""
+    turned = transposed(fps, blocks)
+    back = np.argsort(turned)
+    few = turned[: 1 << 10]
+    each = max(1, len(replicas(few, blocks, threshold)[0]) // max(1, len(few)))
+    parts = -(-len(fps) * each // HELD)
+    links = [(fps[:0], fps[:0])]
+    for part in range(parts):
+        anchors, rows = [], []
+        for i in range(0, len(fps), 1 << 14):
+            a, r = replicas(turned[i : i + (1 << 14)], blocks, threshold)
+            own = a % parts == part
+            anchors.append(a[own])
+            rows.append(r[own] + i)
+        a, r = np.concatenate(anchors), np.concatenate(rows)
+        order = np.argsort(a, kind="stable")
+        u, v = compare(a[order], turned[r[order]], blocks, threshold, dealt=True)
+        links.append(tuple(fps[back[np.searchsorted(turned, x, sorter=back)]] for x in (u, v)))
+    return stars(np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]))
 
 
-def compare(anchors: np.ndarray, fps: np.ndarray, blocks: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links among fingerprints of equal anchors; anchors are sorted and whole."""
+def compare(anchors: np.ndarray, fps: np.ndarray, blocks: int, threshold: int, *, dealt: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Star links among fingerprints of equal anchors; anchors are sorted and whole. dealt: by the second code already,
+    so all pairs with one at home are compared."""
     starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
     sizes = np.diff(np.r_[starts, len(anchors)])
     group = np.repeat(np.arange(len(starts)), sizes)
     nearest, _ = home(fps, blocks)
     at_home = np.flatnonzero(nearest == anchors)
     work = np.bincount(group[at_home], minlength=len(starts)) * sizes
-    dense = (work > DENSE) & (threshold % 2 == 0)
-    links = [_dense(fps[starts[g] : starts[g] + sizes[g]], threshold) for g in np.flatnonzero(dense)]
-    at_home = at_home[~dense[group[at_home]]]
+    crowded = (work > CROWD) & (not dealt)
+    links = [_crowd(fps[starts[g] : starts[g] + sizes[g]], blocks, threshold) for g in np.flatnonzero(crowded)]
+    at_home = at_home[~crowded[group[at_home]]]
     each = sizes[group[at_home]]
     done = 0
     while done < len(at_home):
@@ -172,7 +190,7 @@ def compare(anchors: np.ndarray, fps: np.ndarray, blocks: int, threshold: int) -
     return stars(np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]))
 
 
-def links(distinct: DataFrame, *, threshold: int = THRESHOLD, blocks: int, fp_col: str = "fp") -> DataFrame:
+def links(distinct: DataFrame, *, threshold: int = THRESHOLD, blocks: int = BLOCKS, fp_col: str = "fp") -> DataFrame:
     """Links (u, v) that join the distinct fingerprints of each component within the threshold."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,16 +229,17 @@ def links(distinct: DataFrame, *, threshold: int = THRESHOLD, blocks: int, fp_co
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(meet, "u bigint, v bigint")
 
 
-def rooted(distinct: DataFrame, edges: DataFrame) -> DataFrame:
-    """distinct (fp, ...) with root, the same for all fingerprints that the edges (u, v) join."""
-    return distinct.join(components(edges), distinct.fp == F.col("node"), "left").select(*[distinct[c] for c in distinct.columns], F.coalesce("root", "fp").alias("root"))
+def rooted(distinct: DataFrame, edges: DataFrame, *, key: str = "fp") -> DataFrame:
+    """distinct (key, ...) with root, the same for all keys that the edges (u, v) join."""
+    found = components(edges).select(F.col("node").alias("__node"), "root")
+    return distinct.join(found, F.col(key) == F.col("__node"), "left").select(*distinct.columns, F.coalesce("root", key).alias("root"))
 
 
 def classes(fps: DataFrame, *, threshold: int = THRESHOLD, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of fps: the smallest id of its component. Null ids are passed
     over; a component of null ids only has a null component_id."""
     distinct = checkpointed(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first_id")))
-    groups = rooted(distinct, links(distinct, threshold=threshold, blocks=block_count(distinct.count())))
+    groups = rooted(distinct, links(distinct, threshold=threshold))
     least = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return groups.join(least, "root").select("fp", "component_id")
 

@@ -73,13 +73,32 @@ def test_links_of_crowded_anchors_are_whole(spark):
         for i, c in enumerate(plain_components([(i, f) for i, f in enumerate(fps)])):
             want[c].add(i)
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
-    array = np.array(fps, np.uint64)
-    u, v = simhash._dense(array, 2)
-    dense = defaultdict(set)
-    label = {int(f): int(f) for f in array} | {int(a): int(b) for a, b in zip(u, v)}
-    for i, f in enumerate(fps):
-        dense[label[f]].add(i)
-    assert sorted(map(sorted, dense.values())) == sorted(map(sorted, want.values()))
+
+
+def test_crowds_are_linked_as_all_pairs_are():
+    rng = np.random.default_rng(1)
+    base = int(rng.integers(0, 1 << 63))
+    fps = {base}
+    while len(fps) < 3000:
+        x = base if rng.random() < 0.5 else int(rng.choice(list(fps)[:50]))
+        for b in rng.integers(0, 64, rng.integers(1, 6)):
+            x ^= 1 << int(b)
+        fps.add(x)
+    array = np.array(sorted(fps), np.uint64)
+    assert len(np.unique(simhash.transposed(array, 16))) == len(array)
+    for threshold in (1, 2, 3):
+        u, v = simhash._crowd(array, 16, threshold)
+        label = {int(f): int(f) for f in array} | {int(a): int(b) for a, b in zip(u, v)}
+        groups = defaultdict(set)
+        for i, f in enumerate(array.tolist()):
+            groups[label[f]].add(i)
+        near = np.bitwise_count(array[:, None] ^ array[None]) <= threshold
+        a, b = simhash.stars(*(array[x] for x in np.nonzero(near & ~np.eye(len(array), dtype=bool))))
+        want = defaultdict(set)
+        label = {int(f): int(f) for f in array} | {int(x): int(y) for x, y in zip(a, b)}
+        for i, f in enumerate(array.tolist()):
+            want[label[f]].add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
 def test_components_of_long_chains(spark):
