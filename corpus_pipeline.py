@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pitwright.llm import bpe, mixing, nearcopy, quality, simhash, suffix
-from pitwright.llm.common import checkpointed, shared_dir, table
+from pitwright.llm.common import checkpointed, fresh, shared_dir, table
 
 #: Near duplicates take five words; fingerprints link at this many differing bits.
 SHINGLE = 5
@@ -31,21 +31,30 @@ def _one_of_each(docs: DataFrame, *, verified: bool) -> DataFrame:
     """Of each group of linked documents the one with the smallest id (of equal ids, the first text). A document without
     an id stays only where its group has none with an id. verified: links by exact likeness join groups too."""
     names = docs.columns
-    ids = docs.select("doc_id", "text")
-    own = checkpointed(nearcopy.sketches(ids, shingle=SHINGLE, keep=["doc_id"]) if verified else simhash.fingerprints(ids, shingle=SHINGLE, keep=["doc_id"]))
-    bands = [F.first("bands").alias("bands")] if verified else []
-    distinct = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *bands))
-    edges = simhash.links(distinct, threshold=THRESHOLD, blocks=simhash.block_count(distinct.count()))
+    node, fp, bands, sketch = own = tuple(fresh(docs, c) for c in ("node", "fp", "bands", "sketch"))
     if verified:
-        edges = edges.unionByName(nearcopy.links(docs, distinct, shingle=SHINGLE))
-    groups = checkpointed(simhash.rooted(distinct.select("fp", "first_id"), edges))
-    least = groups.groupBy("root").agg(F.min("first_id").alias("__id"))
-    wanted = groups.join(least, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "__id")
-    marked = simhash.fingerprints(docs, shingle=SHINGLE, fp_col="__fp")
-    kept = marked.join(wanted, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__id")))
+        marked = checkpointed(nearcopy.sketches(docs, shingle=SHINGLE, keep=names, names=own))
+        kept_of = {fp: "fp", bands: "bands", sketch: "sketch"}
+    else:
+        marked = checkpointed(simhash.fingerprints(docs, shingle=SHINGLE, fp_col=fp).withColumn(node, F.col(fp)))
+        kept_of = {fp: "fp"}
+    distinct = checkpointed(marked.groupBy(F.col(node).alias("node")).agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(n) for c, n in kept_of.items()]))
+    # Texts of one fingerprint are linked to the least of them, and the links of fingerprints join these.
+    least = checkpointed(distinct.groupBy("fp").agg(F.min("node").alias("v")))
+    same = distinct.join(least, "fp").where("node != v").select(F.col("node").alias("u"), "v")
+    found = simhash.links(least, threshold=THRESHOLD)
+    ends = [least.select(F.col("fp").alias(c), F.col("v").alias(f"{c}_node")) for c in "uv"]
+    edges = checkpointed(same.unionByName(found.join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))))
+    if verified:
+        edges = edges.unionByName(nearcopy.links(marked.select(F.col(node).alias("node"), "text"), distinct, edges, shingle=SHINGLE))
+    groups = checkpointed(simhash.rooted(distinct.select("node", "first_id"), edges, key="node"))
+    least_id = groups.groupBy("root").agg(F.min("first_id").alias("id"))
+    wanted = groups.join(least_id, "root").select("node", "root", "id").alias("w")
+    # By id too, so that the copies of one text are dealt to many tasks.
+    kept = marked.alias("m").join(wanted, (F.col(f"m.{node}") == F.col("w.node")) & F.col("m.doc_id").eqNullSafe(F.col("w.id")))
     rest = [c for c in names if c != "text"]
-    first = kept.groupBy("__root").agg(F.min(F.struct("text", *rest)).alias("__row"))
-    return first.select(*[F.col("__row").getField(c).alias(c) for c in names])
+    first = kept.groupBy("w.root").agg(F.min(F.struct("m.text", *[F.col(f"m.`{c}`") for c in rest])).alias("row"))
+    return first.select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
