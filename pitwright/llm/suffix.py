@@ -8,14 +8,16 @@ the same document) is removed. Suffix arrays are built over blocks that hold all
    them is one row with the hash of its bytes (the context).
 2. Equal contexts of an anchor are aggregated, once before the shuffle and once after it: all strings of all but the
    first are repeats. Anchors with one context need no more.
+   The strings of an anchor with more than `hot` of them are dealt out one by one, under the hash of each, so an anchor
+   never makes a block that is larger than that.
 3. Where an anchor has several contexts, the first of each is put into a block, with all of its anchor. The block's
    suffix array is sorted in two stages: only suffixes smaller than their successors are sorted directly, the others
    are induced by scans over the buckets of first bytes. Suffixes whose adjacent common prefix is `length` or more are
    copies, and all but the first of them are repeats.
 4. The repeats' spans are joined back to the documents and cut out.
 
-Ids are ordered null first; rows of one id in the order of their texts, repeated rows one after another. A null text
-is an empty text. Texts shorter than `length` bytes stay whole. Contexts are compared by two independent 64-bit hashes
+Ids are ordered null first; rows of one id in the order of the XXH64 of their texts, repeated rows one after another. A
+null text is an empty text. Texts shorter than `length` bytes stay whole. Contexts are compared by two independent 64-bit hashes
 (anchor and context); the block compares bytes.
 """
 
@@ -35,8 +37,10 @@ from .mph import mix
 
 LENGTH = 100
 ANCHOR = 24
-#: Bytes of contexts in a block (an anchor is never split), and string starts of a text that are hashed at once.
+#: Bytes of contexts in a block, strings of an anchor beyond which it is split, and string starts of a text that are
+#: hashed at once.
 BLOCK = 2 << 20
+HOT = 1 << 17
 PIECE = 1 << 22
 SEPARATOR = 0xFF  # in no UTF-8 text
 FIRST_KEY = -(2**63)  # for null ids
@@ -172,46 +176,58 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     for batch in batches:
         for part in slices(batch, "text"):
             rows: list[tuple] = []
-            for k, rn, raw in zip(part.column("k").to_pylist(), part.column("rn").to_pylist(), part.column("text").to_pylist()):
+            for k, th, rn, raw in zip(*[part.column(c).to_pylist() for c in ("k", "th", "rn", "text")]):
+                if rn > 1:  # a repeated row is a repeat as a whole
+                    continue
                 for a in range(0, len(raw) - length + 1, PIECE):
                     data = raw[a : a + PIECE + length - 1]
                     anchor, start, n = runs(np.frombuffer(data, np.uint8), length)
                     ends = (start + n + length - 1).tolist()
                     context = np.fromiter((digest(data[s:e]) for s, e in zip(start.tolist(), ends)), np.uint64, len(start))
-                    rows.append((anchor.view(np.int64), context.view(np.int64), np.full(len(n), k, np.int64), np.full(len(n), rn, np.int32), start + a, n.astype(np.int32)))
+                    rows.append((anchor.view(np.int64), context.view(np.int64), np.full(len(n), k, np.int64), np.full(len(n), th, np.int64), start + a, n.astype(np.int32)))
             if rows:
                 columns = _first_of_each([np.concatenate(c) for c in zip(*rows)], length)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "k", "rn", "start", "n", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "k", "th", "start", "n", "sure"])
 
 
 def _first_of_each(rows: list[np.ndarray], length: int) -> list[np.ndarray]:
     """The rows with `sure`: of equal contexts of an anchor the first stays as it is; the others, repeats for sure,
     become one row for each stretch that they cover, under an anchor of its own that deals them out evenly."""
-    anchor, context, k, rn, start, n = rows
-    order = np.lexsort((start, rn, k, context, anchor))
+    anchor, context, k, th, start, n = rows
+    order = np.lexsort((start, th, k, context, anchor))
     first = np.r_[True, (anchor[order][1:] != anchor[order][:-1]) | (context[order][1:] != context[order][:-1])]
     kept, again = order[first], order[~first]
-    again = again[np.lexsort((start[again], rn[again], k[again]))]
+    again = again[np.lexsort((start[again], th[again], k[again]))]
     end = start[again] + n[again] + length - 1
     cut = np.ones(len(again), bool)
-    cut[1:] = (k[again][1:] != k[again][:-1]) | (rn[again][1:] != rn[again][:-1]) | (start[again][1:] > end[:-1])
+    cut[1:] = (k[again][1:] != k[again][:-1]) | (th[again][1:] != th[again][:-1]) | (start[again][1:] > end[:-1])
     at = np.flatnonzero(cut)
     last = np.r_[at[1:] - 1, len(again) - 1] if len(at) else at
     some = again[at]
-    spread = mix(k[some].view(np.uint64) ^ mix(start[some].view(np.uint64), 1), 2).view(np.int64)
-    parts = [(anchor[kept], spread), (context[kept], np.zeros(len(some), np.int64)), (k[kept], k[some]), (rn[kept], rn[some]), (start[kept], start[some]), (n[kept].astype(np.int64), end[last] - start[some] - length + 1)]
+    spread = mix(k[some].view(np.uint64) ^ th[some].view(np.uint64) ^ mix(start[some].view(np.uint64), 1), 2).view(np.int64)
+    parts = [(anchor[kept], spread), (context[kept], np.zeros(len(some), np.int64)), (k[kept], k[some]), (th[kept], th[some]), (start[kept], start[some]), (n[kept].astype(np.int64), end[last] - start[some] - length + 1)]
     return [np.concatenate(p) for p in parts] + [np.r_[np.zeros(len(kept), bool), np.ones(len(some), bool)]]
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the contexts that are asked for."""
+def _fetch(batches: Iterator[pa.RecordBatch], length: int, hot: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of the contexts that are asked for; those of an anchor with over `hot` strings string by string."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         for part in slices(batch, "text"):
             out: list[tuple] = []
-            for k, rn, raw, asked in zip(*[part.column(c).to_pylist() for c in ("k", "rn", "text", "asked")]):
-                out += [(x["anchor"], k, rn, x["start"], raw[x["start"] : x["start"] + x["n"] + length - 1]) for x in asked if x["rn"] == rn]
+            for k, th, rn, raw, asked in zip(*[part.column(c).to_pylist() for c in ("k", "th", "rn", "text", "asked")]):
+                if rn > 1:
+                    continue
+                for x in asked:
+                    a, n = x["start"], x["n"]
+                    if x["strings"] <= hot:
+                        out.append((x["anchor"], k, th, a, raw[a : a + n + length - 1]))
+                    else:
+                        strings = [raw[i : i + length] for i in range(a, a + n)]
+                        own = np.fromiter(map(digest, strings), np.uint64, n).view(np.int64).tolist()
+                        out += [(h, k, th, a + i, s) for i, (h, s) in enumerate(zip(own, strings))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["anchor", "k", "rn", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "k", "th", "start", "bytes"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -222,16 +238,16 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     def spans(rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[1:4])
         out: list[tuple] = []
-        for (_, k, rn, start, _), again in zip(rows, repeats([r[4] for r in rows], length)):
+        for (_, k, th, start, _), again in zip(rows, repeats([r[4] for r in rows], length)):
             if len(again):
                 cut = np.flatnonzero(np.r_[True, np.diff(again) > 1])
                 last = again[np.r_[cut[1:] - 1, len(again) - 1]]
-                out += [(k, rn, start + a, start + b + length) for a, b in zip(again[cut].tolist(), last.tolist())]
+                out += [(k, th, start + a, start + b + length) for a, b in zip(again[cut].tolist(), last.tolist())]
         columns = list(zip(*out)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["k", "rn", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k", "th", "start", "end"])
 
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "k", "rn", "start", "bytes")]):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "k", "th", "start", "bytes")]):
             if size >= BLOCK and row[0] != held[-1][0]:
                 yield spans(held)
                 held, size = [], 0
@@ -253,7 +269,7 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(df: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, *, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of df, with spans (removed runs: start and end in bytes, in order), kept (the other bytes) and
     kept_text (they as text, without characters of which only a part is left; null for a null text).
 
@@ -264,20 +280,21 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id
         raise ValueError(f"length must be {ANCHOR} at least")
     names = [c for c in df.columns if c not in ("spans", "kept", "kept_text")]
     rest = [c for c in names if c != text_col]
-    plain = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST_KEY)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(f"`{text_col}`").isNull().alias("none"))
-    rows = plain.repartition("k").withColumn("rn", F.row_number().over(W.partitionBy("k").orderBy("text")))
+    plain = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(FIRST_KEY)).alias("k"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("th"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(f"`{text_col}`").isNull().alias("none"))
+    # By text too, so that rows of one id are dealt to many tasks.
+    rows = plain.repartition("k", "th").withColumn("rn", F.row_number().over(W.partitionBy("k", "th").orderBy("none")))
     # All uses read the same columns, so that the texts are shuffled once and their exchange is reused.
-    columns = ["k", "rn", "text", "rest", "none"]
-
-    found = rows.select(columns).mapInArrow(lambda b: _anchors(b, length), "anchor bigint, context bigint, k bigint, rn int, start bigint, n bigint, sure boolean").repartition("anchor")
-    own, same = W.partitionBy("anchor"), W.partitionBy("anchor", "context").orderBy("k", "rn", "start")
-    classed = found.withColumn("place", F.row_number().over(same)).withColumn("mixed", F.min("context").over(own) != F.max("context").over(own))
-    whole = classed.where("sure or place > 1").select("k", "rn", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
-    asked = classed.where("not sure and place = 1 and mixed").groupBy("k").agg(F.collect_list(F.struct("anchor", "rn", "start", "n")).alias("asked"))
-    contexts = rows.select(columns).join(asked.hint("shuffle_hash"), "k").mapInArrow(lambda b: _fetch(b, length), "anchor bigint, k bigint, rn int, start bigint, bytes binary")
-    settled = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _settle(b, length), "k bigint, rn int, start bigint, end bigint")
-    marks = whole.unionByName(settled).groupBy("k").agg(F.collect_list(F.struct("rn", "start", "end")).alias("marks"))
-    marked = rows.select(columns).join(marks.hint("shuffle_hash"), "k", "left")
+    columns = ["k", "th", "rn", "text", "rest", "none"]
+
+    found = rows.select(columns).mapInArrow(lambda b: _anchors(b, length), "anchor bigint, context bigint, k bigint, th bigint, start bigint, n bigint, sure boolean").repartition("anchor")
+    own, same = W.partitionBy("anchor"), W.partitionBy("anchor", "context").orderBy("k", "th", "start")
+    classed = found.withColumn("place", F.row_number().over(same)).withColumn("mixed", F.min("context").over(own) != F.max("context").over(own)).withColumn("strings", F.sum("n").over(own))
+    whole = classed.where("sure or place > 1").select("k", "th", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
+    asked = classed.where("not sure and place = 1 and mixed").groupBy("k", "th").agg(F.collect_list(F.struct("anchor", "start", "n", "strings")).alias("asked"))
+    contexts = rows.select(columns).join(asked, ["k", "th"]).mapInArrow(lambda b: _fetch(b, length, hot), "anchor bigint, k bigint, th bigint, start bigint, bytes binary")
+    settled = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _settle(b, length), "k bigint, th bigint, start bigint, end bigint")
+    marks = whole.unionByName(settled).groupBy("k", "th").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
+    marked = rows.select(columns).join(marks, ["k", "th"], "left")
 
     schema = "rest struct<%s>, text string, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string" % ", ".join(f"`{c}`:{df.schema[c].dataType.simpleString()}" for c in rest)
 
@@ -286,7 +303,10 @@ def remove_repeats(df: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id
             for part in slices(batch, "text"):
                 spans, kept, texts, left = [], [], [], []
                 for rn, raw, none, marks in zip(*[part.column(c).to_pylist() for c in ("rn", "text", "none", "marks")]):
-                    runs_ = union_of([(m["start"], m["end"]) for m in marks or [] if m["rn"] == rn])
+                    if rn > 1:
+                        runs_ = [(0, len(raw))] if len(raw) >= length else []
+                    else:
+                        runs_ = union_of([(m["start"], m["end"]) for m in marks or []])
                     ends = [0, *[b for _, b in runs_]]
                     kept.append(b"".join([raw[a:b] for a, b in zip(ends, [*[a for a, _ in runs_], len(raw)])]))
                     spans.append([{"start": a, "end": b} for a, b in runs_])

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from pitwright.llm import queries, suffix
 
@@ -43,10 +44,10 @@ def test_odd_and_repetitive_rows(spark, odd, empty, monkeypatch):
     rows += [(20 + i, base[rng.randrange(200) :][: rng.randrange(30, 200)] + "🎉" * rng.randrange(3) + base[: rng.randrange(150)]) for i in range(25)]
     rows += [(60, "ab" * 400), (61, "ba" * 300 + base), (62, "x" * 99), (63, "x" * 100)]
     table = spark.createDataFrame([(d, t, "kept", "spans") for d, t in rows], "doc_id bigint, text string, kept string, k string").repartition(4)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
-    for length in (40, 100):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)).view(np.int64)))
+    for length, hot in ((40, suffix.HOT), (100, suffix.HOT), (100, 10), (40, 0)):
         want = [(d, t, spans, kept) for (d, t), (spans, kept) in zip(order, plain([(t or "").encode() for _, t in order], length))]
-        got = [(r.doc_id, r.text, [tuple(s) for s in r.spans], bytes(r.kept)) for r in suffix.remove_repeats(table, length=length).collect()]
+        got = [(r.doc_id, r.text, [tuple(s) for s in r.spans], bytes(r.kept)) for r in suffix.remove_repeats(table, length=length, hot=hot).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert suffix.remove_repeats(empty).count() == 0
     with pytest.raises(ValueError, match="length"):
