@@ -76,19 +76,17 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows of one id are told apart by source and size; equal ones are
-    interchangeable."""
+    """Each document as often as the mix takes it. Rows of one id, text and source are interchangeable: they share what
+    the mix takes of them."""
     names = docs.columns
-    key = F.coalesce(F.col("doc_id"), F.lit(suffix.FIRST_KEY)).alias("__k")
-    order = W.partitionBy("__k").orderBy("source", "size")
-    mixed = mixing.mix_documents(docs).select(key, "source", "size", "copies").withColumn("n", F.row_number().over(order))
-    wanted = mixed.where("copies > 0").groupBy("__k").agg(F.collect_list(F.struct("n", "copies")).alias("__wanted"))
-    placed = docs.select("*", key, mixing.words().alias("__size")).repartition("__k")
-    placed = placed.withColumn("__n", F.row_number().over(W.partitionBy("__k").orderBy("source", "__size")))
-    found = placed.join(wanted.hint("shuffle_hash"), "__k")
-    times = F.get(F.filter("__wanted", lambda x: x["n"] == F.col("__n")), F.lit(0)).getField("copies")
-    taken = found.select(*names, times.alias("__times")).where("__times > 0")
-    return taken.select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*names)
+    key, number, share = (fresh(docs, c) for c in ("key", "number", "share"))
+    taken = mixing.mix_documents(docs).select(F.struct("doc_id", "salt", "source").alias(key), "copies")
+    wanted = taken.groupBy(key).agg(F.struct(F.sum("copies").alias("copies"), F.count("*").alias("rows")).alias(share)).where(F.col(share)["copies"] > 0)
+    placed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("salt"), "source")).withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key)))
+    copies, rows = F.col(share)["copies"], F.col(share)["rows"]
+    times = F.expr(f"`{share}`.copies div `{share}`.rows") + F.when(F.col(number) <= copies % rows, 1).otherwise(0)
+    found = placed.join(wanted, key).withColumn(share, times).where(F.col(share) > 0)
+    return found.withColumn(number, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(share)))).select(*names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
