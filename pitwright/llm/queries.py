@@ -103,14 +103,8 @@ def op8_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     store = tokenstore.write_store(docs, WORD_BPE, end_id=2)
-    width = store.manifest["dtype"]
-    rows = store.read(docs.select("doc_id"))
-    return rows.select(
-        F.col("key").alias("doc_id"),
-        "start",
-        F.expr(f"cast(octet_length(ids) div {int(width[2:])} as bigint)").alias("n_tokens"),
-        tokenstore.crc32_of("ids", width).alias("ids_crc32"),
-    )
+    rows = store.read(docs.select("doc_id"), columns=("n_ids", "ids_crc32"))
+    return rows.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

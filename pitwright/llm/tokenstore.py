@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -38,6 +37,8 @@ from .mph import MinimalPerfectHash, mix
 
 MEMO_ENTRIES = 500_000
 MEMO_KEY = 64
+#: What a store gives back of a document, and the types.
+COLUMNS = {"ids": "binary", "n_ids": "bigint", "ids_crc32": "bigint"}
 #: Bytes that are read at once, and between two documents that are still read together.
 READ = 4 << 20
 GAP = 1 << 16
@@ -221,17 +222,26 @@ class TokenStore:
         with fs.open_input_file(f"{at}/manifest.json") as f:
             return cls(uri, json.loads(f.read()))
 
-    def read(self, keys: DataFrame, *, key_col: str = "doc_id") -> DataFrame:
+    def read(self, keys: DataFrame, *, key_col: str = "doc_id", columns: tuple[str, ...] = ("ids",)) -> DataFrame:
         """The ids of each row of keys (key_col, null too): key, number (of the row among those of its key), start
-        (ids of all documents before it), ids (packed in the width of the store). A key that the store lacks has
-        null start and ids. Input of other columns is not kept."""
+        (ids of all documents before it), and of COLUMNS those that are asked for: ids (packed in the width of the
+        store), n_ids, and ids_crc32 (unsigned, of the ids as 32-bit integers). A key that the store lacks has nulls.
+        Input of other columns is not kept."""
         uri, shards = self.uri, self.manifest["shards"]
         width = np.dtype(self.manifest["dtype"]).itemsize
         lows = np.array([s["first"] if s["first"] is not None else -(2**63) for s in shards], np.int64)
         base = [s["before"] for s in shards]
         names = [s["name"] for s in shards]
 
+        dtype = self.manifest["dtype"]
+        made = {
+            "ids": lambda ids: pa.array(ids, pa.binary()),
+            "n_ids": lambda ids: pa.array([None if x is None else len(x) // width for x in ids], pa.int64()),
+            "ids_crc32": lambda ids: pa.array([None if x is None else zlib.crc32(np.frombuffer(x, dtype).astype("<u4").tobytes()) for x in ids], pa.int64()),
+        }
+
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _ENCODERS.clear()  # of a store that this worker has written
             for batch in batches:
                 k, null = _keys(batch.column(0))
                 shard = np.searchsorted(lows, k, "right") - 1
@@ -239,6 +249,7 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard.astype(np.int64))], names=["key", "shard"])
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _ENCODERS.clear()
             fs, folder = pafs.FileSystem.from_uri(uri)
             now, index, file, last = None, None, None, (None, None, 0)
             for batch in batches:
@@ -265,7 +276,7 @@ class TokenStore:
                         starts = [base[s] + a if ok else None for ok, a in zip(found.tolist(), at.tolist())]
                         ids = _read_ranges(file, at * width, n * width, found)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows)), pa.array(number[rows]), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["key", "number", "start", "ids"]
+                        [batch.column(0).take(pa.array(rows)), pa.array(number[rows]), pa.array(starts, pa.int64()), *[made[c](ids) for c in columns]], names=["key", "number", "start", *columns]
                     )
             if file is not None:
                 file.close()
@@ -273,7 +284,7 @@ class TokenStore:
         routed = keys.select(F.col(key_col).cast("bigint").alias("key")).mapInArrow(route, "key bigint, shard bigint")
         # A number of partitions of its own: by the small keys alone, all shards would be put into few tasks.
         placed = routed.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "key")
-        return placed.mapInArrow(fetch, "key bigint, number bigint, start bigint, ids binary")
+        return placed.mapInArrow(fetch, ", ".join(["key bigint, number bigint, start bigint", *[f"{c} {COLUMNS[c]}" for c in columns]]))
 
 
 def write_store(df: DataFrame, tokenizer_path: str, *, end_id: int, uri: str | None = None, shards: int | None = None, key_col: str = "doc_id", text_col: str = "text") -> TokenStore:
@@ -334,12 +345,3 @@ def write_store(df: DataFrame, tokenizer_path: str, *, end_id: int, uri: str | N
     with fs.open_output_stream(f"{folder}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
     return TokenStore(uri, manifest)
-
-
-def crc32_of(ids_col: str, dtype: str = "<u2"):
-    """Unsigned CRC-32 of packed ids widened to 32 bits."""
-    @F.pandas_udf("bigint")
-    def crc(packed: pd.Series) -> pd.Series:
-        return packed.map(lambda p: None if p is None else zlib.crc32(np.frombuffer(p, dtype).astype("<u4").tobytes()))
-
-    return crc(F.col(ids_col))
