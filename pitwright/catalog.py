@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pitwright.plans import domain, relational
+from pitwright.plans import domain, inventory, relational, strategy_queries, studies
 
-QUERIES: dict = {**relational.QUERIES, **domain.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES, **domain.ORACLES}
+QUERIES: dict = {**relational.QUERIES, **domain.QUERIES, **inventory.QUERIES, **strategy_queries.QUERIES, **studies.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **domain.ORACLES, **inventory.ORACLES, **strategy_queries.ORACLES, **studies.ORACLES}
 FLAGSHIP = "m0_factor_decay"

@@ -8,10 +8,10 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from pitwright.functions import normal
 
 NORMAL = NormalDist()
 EULER = 0.5772156649015329
@@ -45,11 +45,6 @@ def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, varianc
     return probabilistic_sharpe(sharpe, expected_max_sharpe(variance, trials), n, skew, kurtosis)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if pd.isna(v) else NORMAL.cdf(v))
-
-
 def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """One pass: n, mean, sd (ddof 1), sharpe, population skew and kurtosis (not in excess), share of zeros."""
     v = F.col(value)
@@ -70,4 +65,4 @@ def deflate(stats: DataFrame, trials: int | None = None) -> DataFrame:
     inside = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurtosis") - 1) / 4 * F.col("sharpe") ** 2
     se = F.when((F.col("n") >= 2) & (F.col("kurtosis") >= 1) & (inside > 0), F.sqrt(inside / (F.col("n") - 1)))
     z = lambda t: F.try_divide(F.col("sharpe") - F.lit(t), se)
-    return stats.withColumn("threshold", F.lit(threshold)).withColumn("psr", normal_cdf(z(0.0))).withColumn("dsr", normal_cdf(z(threshold)))
+    return stats.withColumn("threshold", F.lit(threshold)).withColumn("psr", normal.cdf(z(0.0))).withColumn("dsr", normal.cdf(z(threshold)))

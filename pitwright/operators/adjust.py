@@ -90,6 +90,14 @@ def flagged(panel: DataFrame, flags: DataFrame) -> DataFrame:
     return panel.join(f, "symbol").where(F.col("session_date").between(F.col("start_date"), F.col("end_date"))).drop("start_date", "end_date")
 
 
+def flagged_points(points: DataFrame, flags: DataFrame) -> DataFrame:
+    """points (symbol, session_date) with flagged and reasons, the sorted distinct reasons of the intervals around each.
+    An interval is inclusive. Points of symbols without an interval are joined with nothing."""
+    f = flags.select(F.col("symbol").alias("s"), "start_date", "end_date", "reason")
+    hit = points.join(f, (F.col("symbol") == F.col("s")) & F.col("session_date").between(F.col("start_date"), F.col("end_date")), "left")
+    return hit.groupBy("symbol", "session_date").agg(F.array_sort(F.collect_set("reason")).alias("reasons")).withColumn("flagged", F.size("reasons") > 0)
+
+
 def without_flagged(panel: DataFrame, flags: DataFrame) -> DataFrame:
     f = flags.select(F.col("symbol").alias("s"), "start_date", "end_date")
     return panel.join(f, (F.col("symbol") == F.col("s")) & F.col("session_date").between(F.col("start_date"), F.col("end_date")), "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,38 +65,38 @@ def gross(weights: DataFrame, fills: DataFrame, prices: DataFrame, calendar: Dat
 def net(weights: DataFrame, fills: DataFrame, prices: DataFrame, calendar: DataFrame, *, initial: float = 1_000_000.0, depository: float = 0.0, schedule: tuple[C.Epoch, ...] = C.SCHEDULE) -> DataFrame:
     """gross() with cost, net_return and equity; a strategy ends with the first session that leaves it nothing.
 
-    A leg's cost depends on the equity of its day, so sessions are folded in order, one strategy a row: a list of
-    sessions, each with its legs (absolute change, traded value, side, statutory rate).
+    A leg's cost depends on the equity of its day, so sessions are folded in order, a strategy a group; a session's legs
+    (absolute change, traded value, side, statutory rate) are one vector.
     """
     rows = accruals(changes(weights, fills), prices, calendar).withColumn("d", F.abs(F.col("weight") - F.col("previous")))
     sells = F.col("weight") < F.col("previous")
     unit = C.charge(F.lit(1.0), sells, C.epoch_of(F.col("session_date"), schedule), F.lit(0))["total"]
-    leg = F.when(F.col("d") > 0, F.struct("d", F.coalesce("turnover_inr", F.lit(0.0)).alias("v"), sells.alias("sells"), unit.alias("rate")))
-    per = rows.groupBy("strategy", "session_date").agg(F.sum("earned").alias("g"), F.sum(F.abs("weight")).alias("x"), F.sum("d").alias("t"), F.sort_array(F.collect_list(leg)).alias("legs"))
-    legs = F.coalesce("legs", F.array().cast("array<struct<d:double,v:double,sells:boolean,rate:double>>"))
-    days = fills.select("strategy", "session_date").distinct().join(per, ["strategy", "session_date"], "left")
-    days = days.select("strategy", F.struct("session_date", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("g", "x", "t")], legs.alias("legs")).alias("day"))
-    lists = days.groupBy("strategy").agg(F.array_sort(F.collect_list("day"), lambda a, b: F.datediff(a["session_date"], b["session_date"])).alias("days"))
-    kind = "array<struct<session_date:date,gross_return:double,gross_exposure:double,turnover:double,cost:double,net_return:double,equity:double>>"
-
-    def step(s, x):
-        e = s["equity"]
-
-        def add(total, leg):
-            part = F.try_divide(leg["d"] * e, leg["v"])
-            slip = F.when(leg["v"] > 0, F.least(C.SLIPPAGE * part, F.lit(C.MOST_SLIPPAGE))).otherwise(F.lit(C.MOST_SLIPPAGE))
-            move = F.when(leg["v"] > 0, C.IMPACT * C.SIGMA * F.sqrt(part)).otherwise(F.lit(0.0))
-            flat = F.when(leg["sells"], F.lit(float(depository)) / e).otherwise(F.lit(0.0))
-            return total + leg["d"] * (leg["rate"] + slip + move) + flat
-
-        cost = F.aggregate(x["legs"], F.lit(0.0), add)
-        after = e * (1 + x["g"] - cost)
-        row = F.array(F.struct(x["session_date"].alias("session_date"), x["g"].alias("gross_return"), x["x"].alias("gross_exposure"), x["t"].alias("turnover"), cost.alias("cost"), (x["g"] - cost).alias("net_return"), after.alias("equity"))).cast(kind)
-        return F.when(e <= 0, s).otherwise(F.struct(after.alias("equity"), F.concat(s["out"], row).alias("out")))
-
-    start = F.struct(F.lit(float(initial)).alias("equity"), F.array().cast(kind).alias("out"))
-    folded = lists.select("strategy", F.explode(F.aggregate("days", start, step, lambda s: s["out"])).alias("r"))
-    return folded.select("strategy", "r.*")
+    legs = rows.select("strategy", "session_date", "earned", F.abs("weight").alias("x"), "d", F.coalesce("turnover_inr", F.lit(0.0)).alias("v"), sells.alias("sells"), F.when(F.col("d") > 0, unit).alias("rate"))
+    # A day without a leg still has a row.
+    days = fills.select("strategy", "session_date").distinct().join(legs, ["strategy", "session_date"], "left")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["session_date", "d", "v", "rate"], kind="stable").fillna({"earned": 0.0, "x": 0.0, "d": 0.0, "v": 0.0, "rate": 0.0, "sells": False})
+        day, first = np.unique(pdf["session_date"].to_numpy(), return_index=True)
+        g, x, d, v, rate = (pdf[c].to_numpy(float) for c in ("earned", "x", "d", "v", "rate"))
+        flat = np.where(pdf["sells"].to_numpy(bool) & (d > 0), float(depository), 0.0)
+        sums = [np.add.reduceat(a, first) for a in (g, x, d)]
+        ends, e, out = [*first[1:], len(pdf)], float(initial), []
+        for i, (a, b) in enumerate(zip(first, ends)):
+            if e <= 0:
+                break
+            some = d[a:b] > 0
+            q, value = d[a:b][some], v[a:b][some]
+            part = np.divide(q * e, value, out=np.zeros_like(q), where=value > 0)
+            slip = np.where(value > 0, np.minimum(C.SLIPPAGE * part, C.MOST_SLIPPAGE), C.MOST_SLIPPAGE)
+            cost = float((q * (rate[a:b][some] + slip + C.IMPACT * C.SIGMA * np.sqrt(part)) + flat[a:b][some] / e).sum())
+            e *= 1 + sums[0][i] - cost
+            out.append((day[i], sums[0][i], sums[1][i], sums[2][i], cost, sums[0][i] - cost, e))
+        made = pd.DataFrame(out, columns=["session_date", "gross_return", "gross_exposure", "turnover", "cost", "net_return", "equity"])
+        made.insert(0, "strategy", pdf["strategy"].iloc[0])
+        return made
+
+    return days.groupBy("strategy").applyInPandas(fold, "strategy string, session_date date, gross_return double, gross_exposure double, turnover double, cost double, net_return double, equity double")
 
 
 def breaches(weights: DataFrame, fills: DataFrame, prices: DataFrame, result: DataFrame, *, initial: float = 1_000_000.0, limit: float = 0.01) -> DataFrame:
@@ -104,3 +106,29 @@ def breaches(weights: DataFrame, fills: DataFrame, prices: DataFrame, result: Da
     legs = changes(weights, fills).withColumn("d", F.abs(F.col("weight") - F.col("previous"))).where("d > 0")
     priced = legs.join(prices.select("session_date", "symbol", "turnover_inr"), ["session_date", "symbol"]).where("turnover_inr > 0").join(equity, ["strategy", "session_date"])
     return priced.withColumn("participation", F.col("d") * F.col("before") / F.col("turnover_inr")).where(F.col("participation") > limit).select("strategy", "session_date", "symbol", "participation")
+
+
+def until_ruin(results: DataFrame) -> DataFrame:
+    """results (strategy, session_date, equity) up to the first session that leaves a strategy nothing, with it."""
+    ruin = F.min(F.when(F.col("equity") <= 0, F.col("session_date"))).over(W.partitionBy("strategy"))
+    return results.withColumn("__ruin", ruin).where(F.col("__ruin").isNull() | (F.col("session_date") <= F.col("__ruin"))).drop("__ruin")
+
+
+def rebalance_costs(weights: DataFrame, fills: DataFrame, prices: DataFrame, equity: float, *, depository: float = 0.0, schedule: tuple[C.Epoch, ...] = C.SCHEDULE) -> DataFrame:
+    """strategy, session_date, symbol, side, share: what each leg of a rebalance costs, as a share of the equity."""
+    moved = changes(weights, fills).withColumn("d", F.abs(F.col("weight") - F.col("previous"))).where("d > 0")
+    priced = moved.join(prices.select("session_date", "symbol", "turnover_inr"), ["session_date", "symbol"], "left")
+    rows = priced.withColumns({"on": F.col("session_date"), "turnover": F.col("d") * equity, "side": F.when(F.col("weight") < F.col("previous"), "sell").otherwise("buy"), "traded_value": F.col("turnover_inr"), "scrips": F.lit(1)})
+    return C.execute(rows, depository=depository, schedule=schedule).select("strategy", "session_date", "symbol", "side", (F.col("total") / equity).alias("share"))
+
+
+def flagged_holdings(weights: DataFrame, flags: DataFrame) -> DataFrame:
+    """Rows of held names inside a flagged interval, once for each reason."""
+    f = flags.select("symbol", "start_date", "end_date", "reason")
+    return weights.join(f, "symbol").where(F.col("session_date").between(F.col("start_date"), F.col("end_date"))).drop("start_date", "end_date")
+
+
+def positions(weights: DataFrame) -> DataFrame:
+    """strategy, session_date, names, gross, net, largest of the weights after clamping."""
+    w = F.col("weight")
+    return weights.groupBy("strategy", "session_date").agg(F.count("*").alias("names"), F.sum(F.abs(w)).alias("gross"), F.sum(w).alias("net"), F.max(F.abs(w)).alias("largest"))

@@ -40,11 +40,16 @@ def neighbours(days: DataFrame, calendar: DataFrame) -> DataFrame:
     return days.join(out, "day")
 
 
-def shift(days: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
-    """days (day, each a session) with shifted, the session n later (earlier if negative); null out of range."""
+def shift(days: DataFrame, calendar: DataFrame, n: int, *, strict: bool = True) -> DataFrame:
+    """days (day) with shifted, the session n later (earlier if negative). A day that is no session, or whose shifted
+    session is out of range, fails when it is computed; not strict: it has null."""
     here = calendar.select(F.col("session_date").alias("day"), (F.col("session_idx") + n).alias("to"))
     there = calendar.select(F.col("session_date").alias("shifted"), F.col("session_idx").alias("to"))
-    return days.join(here, "day").join(there, "to", "left").drop("to")
+    out = days.join(here, "day", "left").join(there, "to", "left")
+    if strict:
+        why = F.when(F.col("to").isNull(), F.concat(F.col("day").cast("string"), F.lit(" is no session"))).otherwise(F.concat(F.col("day").cast("string"), F.lit(f" has no session {n} from it")))
+        out = out.withColumn("shifted", F.when(F.col("shifted").isNull(), F.raise_error(why).cast("date")).otherwise(F.col("shifted")))
+    return out.drop("to")
 
 
 def between(calendar: DataFrame, start: str, end: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,6 +87,12 @@ def capacity_by_state(per_session: DataFrame, states: DataFrame) -> DataFrame:
     return placed.groupBy("factor", "flow_state").agg(F.median("capacity_inr").alias("median_capacity"), nearest.alias("p05_capacity"), F.count("*").alias("n_sessions"))
 
 
+def flow_ratio(by_state: DataFrame) -> DataFrame:
+    """factor, ratio of the median capacities of outflow and inflow sessions."""
+    wide = by_state.groupBy("factor").pivot("flow_state", ["inflow", "outflow"]).agg(F.first("median_capacity"))
+    return wide.select("factor", F.try_divide("outflow", "inflow").alias("ratio"))
+
+
 def flow_states(net: DataFrame, *, window: int = 5, baseline: int = 252, threshold: float = 1.0) -> DataFrame:
     """net (session_date, net) with rolling, z and flow_state. The baseline ends before the session's own. A series
     of sessions is ordered in one task; it has a row a day."""
@@ -132,5 +138,25 @@ def pooled(fits: DataFrame) -> DataFrame:
     return sums.select((F.col("ws") / F.col("w")).alias("pooled"), error.alias("pooled_error"), F.col("mean").alias("equal_weight"), (F.col("sd") / F.sqrt("n")).alias("equal_weight_error"), "median_error", (error * (1.959963984540054 + 0.8416212335729143)).alias("detectable"), "n")
 
 
+def amihud(measures: DataFrame) -> DataFrame:
+    """symbol, amihud: mean absolute return over traded value, of sessions with a value."""
+    return measures.groupBy("symbol").agg(F.avg("amihud_term").alias("amihud"))
+
+
+def spread(df: DataFrame, value: str, *, below: float) -> DataFrame:
+    """One row: the share of values below a bound, the decades between the least and the greatest, and the quartiles."""
+    v = F.col(value)
+    return df.agg(F.avg((v < below).cast("double")).alias("share"), F.log10(F.max(v) / F.min(v)).alias("decades"), F.percentile(v, 0.25).alias("lower"), F.percentile(v, 0.75).alias("upper"))
+
+
+def participation(order: Column, traded_value: Column) -> Column:
+    """Share of the traded value; null without any."""
+    return F.when(traded_value > 0, order / traded_value)
+
+
+def square_root_impact(share: Column, sigma: Column, coefficient: float = 1.0) -> Column:
+    return coefficient * sigma * F.sqrt(share)
+
+
 def impact_fraction(participation: float, sigma: float, coefficient: float = 1.0) -> float:
     return coefficient * sigma * math.sqrt(participation)

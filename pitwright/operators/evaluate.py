@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitwright.operators.frames import global_rank
+
 MOST_PARTITIONS = 200_000
 
 
@@ -32,11 +34,12 @@ def kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def abstention_curve(scored: DataFrame, coverages: list[float], *, score: str = "score", value: str = "value", name: str = "name") -> DataFrame:
     """coverage, kept, performance: the mean value of the best-scored share, max(1, half-even round) of the names;
-    equal scores by name. The names of a corpus are ranked in one task."""
-    placed = scored.withColumns({"r": F.row_number().over(W.orderBy(F.desc(score), name)), "n": F.count("*").over(W.partitionBy())})
-    each = F.explode(F.array(*[F.lit(float(c)) for c in coverages])).alias("coverage")
-    rows = placed.select("r", "n", value, each).withColumn("kept", F.greatest(F.lit(1), F.bround(F.col("coverage") * F.col("n")).cast("int")))
-    return rows.where(F.col("r") <= F.col("kept")).groupBy("coverage", "kept").agg(F.avg(value).alias("performance"))
+    equal scores by name."""
+    n = scored.count()
+    kept = [max(1, round(c * n)) for c in coverages]  # half to even
+    cuts = F.explode(F.array(*[F.struct(F.lit(float(c)).alias("coverage"), F.lit(k).alias("kept")) for c, k in zip(coverages, kept)])).alias("cut")
+    best = global_rank(scored.select(score, name, value), F.desc(score), F.asc(name)).where(F.col("rank") <= max(kept, default=0))
+    return best.select("rank", value, cuts).where("rank <= cut.kept").groupBy("cut.coverage", "cut.kept").agg(F.avg(value).alias("performance"))
 
 
 def area(curve: DataFrame, x: str = "coverage", y: str = "performance") -> DataFrame:
@@ -57,9 +60,9 @@ def overfitting(spark: SparkSession, returns: DataFrame, blocks: int = 16) -> Da
         raise ValueError("blocks must be even")
     if comb(blocks, blocks // 2) > MOST_PARTITIONS:
         raise ValueError(f"more than {MOST_PARTITIONS} partitions")
-    n = F.max("idx").over(W.partitionBy()) + 1
-    block = F.least(F.floor(F.col("idx") * blocks / n), F.lit(blocks - 1)).cast("int")
-    sums = returns.withColumn("block", block).groupBy("strategy", "block").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
+    size = F.broadcast(returns.agg((F.max("idx") + 1).alias("size")))  # one row
+    block = F.least(F.floor(F.col("idx") * blocks / F.col("size")), F.lit(blocks - 1)).cast("int")
+    sums = returns.join(size).withColumn("block", block).groupBy("strategy", "block").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     masks = spark.range(1 << blocks).where(F.bit_count("id") == blocks // 2).select(F.col("id").alias("split"), F.col("id").alias("mask"))
     cells = sums.crossJoin(F.broadcast(masks))
     inside = F.getbit("mask", F.col("block")) == 1
@@ -80,7 +83,7 @@ def overfitting(spark: SparkSession, returns: DataFrame, blocks: int = 16) -> Da
 
 def exact_duplicates(series: DataFrame, *, digits: int = 12) -> DataFrame:
     """name, cluster (least name): series (name, session_date, ret) that are equal to that many digits. The rounded
-    values are hashed in order, so no pair of series is compared; groups are checked by their whole lists."""
+    values are hashed in order, so no pair of series is compared; equal SHA-256 hashes are taken for equal series."""
     listed = series.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("session_date", F.round("ret", digits).alias("ret")))).alias("values"))
     signed = listed.withColumn("signature", F.sha2(F.to_json("values"), 256)).select("name", "signature")
     return signed.withColumn("cluster", F.min("name").over(W.partitionBy("signature"))).select("name", "cluster")

@@ -5,6 +5,7 @@ A trailing window is null until it holds enough values. Nothing here looks ahead
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def trailing(column: str, window: int, how=F.avg, *, at_least: int | None = None
     return F.when(F.count(column).over(frame) >= (window if at_least is None else at_least), how(column).over(frame))
 
 
+def ema(panel: DataFrame, alpha: float, price: str = "close") -> DataFrame:
+    """symbol, session_date, ema: the recursion alpha * price + (1 - alpha) * the value before, from a symbol's first
+    price on. A symbol's quotations are one group."""
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("session_date", kind="stable")
+        return rows[["symbol", "session_date"]].assign(ema=rows[price].ewm(alpha=alpha, adjust=False).mean())
+
+    return panel.select("symbol", "session_date", price).groupBy("symbol").applyInPandas(smooth, "symbol string, session_date date, ema double")
+
+
 def with_returns(panel: DataFrame, price: str = "adj_close") -> DataFrame:
     return panel.withColumn("ret", F.try_divide(F.col(price), lagged(price)) - 1)
 
@@ -76,3 +88,11 @@ def last_sessions(panel: DataFrame, n: int) -> DataFrame:
     days = panel.select("session_date").distinct()
     last = days.withColumn("r", F.row_number().over(W.orderBy(F.desc("session_date")))).where(F.col("r") <= n).drop("r")
     return panel.join(last, "session_date", "left_semi")
+
+
+def view(panel: DataFrame, members: DataFrame, as_of: str, n: int = 0) -> DataFrame:
+    """What a decision for the fill session as_of may see: rows before it of today's members (session_date, symbol), all
+    of their past, also from when they were no members; of n > 0 the last n sessions that these rows have."""
+    today = members.where(F.col("session_date") == F.lit(as_of).cast("date")).select("symbol").distinct()
+    past = panel.where(F.col("session_date") < F.lit(as_of).cast("date")).join(today, "symbol", "left_semi")
+    return last_sessions(past, n) if n > 0 else past

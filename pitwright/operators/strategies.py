@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,18 +79,32 @@ def trailing_median(column: str, n: int) -> Column:
     return F.when(F.size(values) >= n, middle)
 
 
-def smoothed(values: Column, span: int) -> Column:
-    """The exponential moving averages of a list, seeded with its first value."""
-    a = 2.0 / (span + 1)
-    step = lambda out, x: F.concat(out, F.array(a * x + (1 - a) * F.element_at(out, -1)))
-    return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, 1), step)
+def macd_weights(n: int, fast: int, slow: int, signal: int) -> list[float]:
+    """What each of the last n closes, oldest first, counts in the last difference of two exponential averages less the
+    average of that difference, all seeded with their first value: averages are linear, so the whole is one sum."""
 
+    def average(span: int) -> np.ndarray:
+        a = 2.0 / (span + 1)
+        out = np.zeros((n, n))
+        out[0, 0] = 1.0
+        for i in range(1, n):
+            out[i] = (1 - a) * out[i - 1]
+            out[i, i] += a
+        return out
 
-def macd(n: int, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
-    """The last value of the difference of two averages, less its own average, over the last n closes."""
+    line = average(fast) - average(slow)
+    return (line - average(signal) @ line)[-1].tolist()
+
+
+def macd(n: int = 78, fast: int = 12, slow: int = 26, signal: int = 9) -> Column:
     closes = F.collect_list("adj_close").over(by_symbol().rowsBetween(-n + 1, 0))
-    line = F.zip_with(smoothed(closes, fast), smoothed(closes, slow), lambda x, y: x - y)
-    return F.when(F.size(closes) >= n, F.element_at(line, -1) - F.element_at(smoothed(line, signal), -1))
+    weights = F.array(*[F.lit(w) for w in macd_weights(n, fast, slow, signal)])
+    return F.when(F.size(closes) >= n, F.aggregate(F.zip_with(closes, weights, lambda x, w: x * w), F.lit(0.0), lambda total, x: total + x))
+
+
+def both(a: Column, b: Column) -> Column:
+    """The smaller of two values; null if either is."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
 
 
 def top(score: Column, *, n: int = TOP, largest: bool = True, where: Column | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -166,48 +181,47 @@ def inverse(score: Column) -> Callable[[DataFrame], DataFrame]:
     return build
 
 
-def library(scale: int = 1) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """Named strategies; lookbacks in sessions are divided by scale (5 for weekly panels)."""
-    d = lambda n: max(2, n // scale)
+def library() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Named strategies; lookbacks are in quotations of a name."""
     last, score = F.col("adj_close"), F.col("score")
-    gains, losses = trailing("gain", d(14), F.avg, upto=0), trailing("loss", d(14), F.avg, upto=0)
+    gains, losses = trailing("gain", 14, F.avg, upto=0), trailing("loss", 14, F.avg, upto=0)
     return {
         "equal_weight_universe": among(F.lit(True)),
-        "simple_momentum_63d": top(window_return(d(63))),
-        "momentum_skip_month": top(F.try_divide(F.lag("adj_close", d(21)).over(by_symbol()), F.lag("adj_close", d(252)).over(by_symbol())) - 1),
-        "mean_reversion_5d": top(window_return(d(5)), largest=False),
-        "dual_momentum_21_126": among(score > 0, F.least(window_return(d(21)), window_return(d(126)))),
-        "relative_strength_vs_universe": among(score > F.col("mean_score"), window_return(d(63))),
-        "low_volatility": top(deviation(d(63)), largest=False, where=score > 0),
-        "high_volatility": top(deviation(d(63))),
-        "inverse_volatility_weighted": inverse(deviation(d(63))),
-        "min_drawdown": top(last / highest(d(126)) - 1),
-        "breakout_20d": among(score >= 0, last - highest(d(20))),
-        "sma_crossover": among(score > 0, average(d(20)) - average(d(50))),
-        "long_term_reversal_756d": top(window_return(d(756)), largest=False),
-        "cross_sectional_zscore": top(window_return(d(21))),
-        "equal_risk_contribution_pairs": two_baskets(deviation(d(63))),
-        "donchian_channel": among(score >= 0.8, F.try_divide(last - lowest(d(55)), highest(d(55)) - lowest(d(55)))),
-        "bollinger_reversion": among(score < 0, last - average(d(20)) + 2 * trailing("adj_close", d(20), F.stddev_samp, upto=0)),
-        "price_above_sma200": among(score > 0, last - average(d(200))),
-        "macd_signal_cross": among(score > 0, macd(d(78))),
+        "simple_momentum_63d": top(window_return(63)),
+        "momentum_skip_month": top(F.try_divide(F.lag("adj_close", 21).over(by_symbol()), F.lag("adj_close", 252).over(by_symbol())) - 1),
+        "mean_reversion_5d": top(window_return(5), largest=False),
+        "dual_momentum_21_126": among(score > 0, both(window_return(21), window_return(126))),
+        "relative_strength_vs_universe": among(score > F.col("mean_score"), window_return(63)),
+        "low_volatility": top(deviation(63), largest=False, where=score > 0),
+        "high_volatility": top(deviation(63)),
+        "inverse_volatility_weighted": inverse(deviation(63)),
+        "min_drawdown": top(last / highest(126) - 1),
+        "breakout_20d": among(score >= 0, last - highest(20)),
+        "sma_crossover": among(score > 0, average(20) - average(50)),
+        "long_term_reversal_756d": top(window_return(756), largest=False),
+        "cross_sectional_zscore": top(window_return(21)),
+        "equal_risk_contribution_pairs": two_baskets(deviation(63)),
+        "donchian_channel": among(score >= 0.8, F.try_divide(last - lowest(55), highest(55) - lowest(55))),
+        "bollinger_reversion": among(score < 0, last - average(20) + 2 * trailing("adj_close", 20, F.stddev_samp, upto=0)),
+        "price_above_sma200": among(score > 0, last - average(200)),
+        "macd_signal_cross": among(score > 0, macd()),
         "rsi_oversold": among(score < 30, 100 - 100 / (1 + gains / F.when(losses > 0, losses))),
-        "price_vs_vwap": among(score < 0, last - F.try_divide(trailing("value_close", d(63), F.sum, upto=0), trailing("turnover_inr", d(63), F.sum, upto=0))),
+        "price_vs_vwap": among(score < 0, last - F.try_divide(trailing("value_close", 63, F.sum, upto=0), trailing("turnover_inr", 63, F.sum, upto=0))),
         "gap_fade": top(F.try_divide(F.col("open"), F.lag("adj_close", 1).over(by_symbol())) - 1, n=5, largest=False, where=score <= -0.02),
-        "range_compression": top(F.try_divide(trailing("rel_range", d(10), F.avg, upto=0), trailing("rel_range", d(63), F.avg, upto=0)), largest=False),
-        "trend_persistence": top(trailing("rose", d(63), F.avg, upto=0)),
-        "volatility_breakout": among(score > 0, deviation(d(21)) - 1.25 * deviation(d(126))),
-        "turnover_growth": top(F.try_divide(trailing("turnover_inr", d(5), F.avg, upto=0), trailing_median("turnover_inr", d(63))) - 1),
-        "equal_weight_top_liquidity": top_share(trailing_median("turnover_inr", d(21)), 0.5),
-        "volume_weighted_momentum": scaled_by_liquidity(window_return(d(63)), trailing_median("turnover_inr", d(63))),
+        "range_compression": top(F.try_divide(trailing("rel_range", 10, F.avg, upto=0), trailing("rel_range", 63, F.avg, upto=0)), largest=False),
+        "trend_persistence": top(trailing("rose", 63, F.avg, upto=0)),
+        "volatility_breakout": among(score > 0, deviation(21) - 1.25 * deviation(126)),
+        "turnover_growth": top(F.try_divide(trailing("turnover_inr", 5, F.avg, upto=0), trailing_median("turnover_inr", 63)) - 1),
+        "equal_weight_top_liquidity": top_share(trailing_median("turnover_inr", 21), 0.5),
+        "volume_weighted_momentum": scaled_by_liquidity(window_return(63), trailing_median("turnover_inr", 63)),
         "seasonality_day_of_week": among(F.weekday("session_date").isin(0, 1)),
-        "random_walk_baseline": top(F.xxhash64("session_date", "symbol")),
-        "price_above_sma": among(score > 0, last - average(d(50))),
-        "liquidity_tilt": top(trailing("turnover_inr", d(21), F.avg, upto=0)),
+        "random_walk_baseline": top(F.md5(F.concat_ws("|", F.col("session_date").cast("string"), "symbol"))),
+        "price_above_sma": among(score > 0, last - average(50)),
+        "liquidity_tilt": top(trailing("turnover_inr", 21, F.avg, upto=0)),
     }
 
 
-def weights(panel: DataFrame, calendar: DataFrame, name: str, scale: int = 1) -> DataFrame:
+def weights(panel: DataFrame, calendar: DataFrame, name: str) -> DataFrame:
     """strategy, session_date (of the fill), symbol, weight of a named strategy."""
     ret = F.col("ret")
     measures = {
@@ -217,6 +231,6 @@ def weights(panel: DataFrame, calendar: DataFrame, name: str, scale: int = 1) ->
         "value_close": F.col("adj_close") * F.col("turnover_inr"),
         "rel_range": F.try_divide(F.col("high") - F.col("low"), F.col("adj_close")),
     }
-    rows = library(scale)[name](with_returns(panel).withColumns(measures))
+    rows = library()[name](with_returns(panel).withColumns(measures))
     fills = calendar.withColumn("fill", F.lead("session_date").over(W.orderBy("session_date"))).select("session_date", "fill")
     return rows.join(fills, "session_date").where("fill is not null").select(F.lit(name).alias("strategy"), F.col("fill").alias("session_date"), "symbol", "weight")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitwright.operators.backtest import gross
+from pitwright.operators.features import long_short
+from pitwright.operators.frames import uniform
+
 WINDOW = 21
 DAYS = 252
 
@@ -109,28 +113,25 @@ def information_criterion(evidence: float, n: int, k: int, dimensions: int) -> f
     return free * math.log(n) - 2 * evidence
 
 
-def bootstrap_paths(spark: SparkSession, n: int, paths: int, block: float, seed: int, labels: list[int] | None = None) -> DataFrame:
-    """path_id, step, src_idx: stationary bootstrap with blocks of geometric length, wrapped around. With labels a jump
-    goes to a position of the label of the step. Each path has its own seeded generator, so paths are drawn apart."""
+def bootstrap_paths(spark: SparkSession, n: int, paths: int, block: float, seed: int, labels: DataFrame | None = None) -> DataFrame:
+    """path_id, step, src_idx: stationary bootstrap with blocks of geometric length, wrapped around. With labels
+    (session_idx, label) a jump goes to a session of the label of the step.
+
+    A draw is a hash of the seed, the path and the step, so paths are drawn apart, and again alike, without Python."""
     if n < 1 or block < 1:
         raise ValueError("n and block must be 1 at least")
-    by = {v: np.flatnonzero(np.asarray(labels) == v) for v in set(labels)} if labels else None
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["id"].tolist():
-                rng = np.random.default_rng((seed, path))
-                jump = rng.random(n) < 1 / block
-                jump[0] = True
-                if by is None:
-                    to = rng.integers(0, n, n)
-                else:
-                    to = np.array([by[v][int(u * len(by[v]))] for v, u in zip(labels, rng.random(n))])
-                since = np.arange(n) - np.maximum.accumulate(np.where(jump, np.arange(n), 0))
-                src = (to[np.arange(n) - since] + since) % n
-                yield pd.DataFrame({"path_id": path, "step": np.arange(n, dtype="int32"), "src_idx": src.astype("int32")})
-
-    return spark.range(paths).mapInPandas(draw, "path_id bigint, step int, src_idx int")
+    rows = spark.range(paths).select(F.col("id").alias("path_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("step"))
+    rows = rows.withColumn("jump", (F.col("step") == 0) | (uniform(seed, F.col("path_id"), F.col("step"), "jump") < 1 / block))
+    draw = uniform(seed, F.col("path_id"), F.col("step"), "to")
+    if labels is None:
+        rows = rows.withColumn("to", F.floor(draw * n))
+    else:
+        own = W.partitionBy("label")
+        placed = labels.select(F.col("session_idx").alias("to"), "label", (F.row_number().over(own.orderBy("session_idx")) - 1).alias("place"), F.count("*").over(own).alias("size"))
+        sizes = labels.join(placed.select("label", "size").distinct(), "label").select(F.col("session_idx").alias("step"), "label", "size")
+        rows = rows.join(sizes, "step").withColumn("place", F.floor(draw * F.col("size"))).join(placed.drop("size"), ["label", "place"])
+    last = F.last(F.when(F.col("jump"), F.struct("step", "to")), ignorenulls=True).over(W.partitionBy("path_id").orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("last", last).select("path_id", "step", ((F.col("last.to") + F.col("step") - F.col("last.step")) % n).cast("int").alias("src_idx"))
 
 
 def gather(paths: DataFrame, series: DataFrame) -> DataFrame:
@@ -139,14 +140,86 @@ def gather(paths: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def synthetic_panel(paths: DataFrame, panel: DataFrame, calendar: DataFrame) -> DataFrame:
-    """path_id, step, symbol, close, turnover_inr: each symbol's first close compounded by the log returns of the
-    sessions on its path; a session without a return moves nothing."""
+    """path_id, step, symbol, open, high, low, close, prev_close, volume, turnover_inr, carried: each symbol's first close
+    compounded by the log returns of the sessions on its path. The other prices keep their ratio to the close of the
+    session that they come from; volume and turnover are that session's. A session into which a symbol has no return
+    moves nothing, and is carried. prev_close of the panel, if it has one, else the close before, is scaled alike."""
     order = W.partitionBy("symbol").orderBy("session_date")
-    moved = panel.join(calendar, "session_date").withColumn("r", F.ln(F.try_divide("close", F.lag("close").over(order))))
+    before = F.lag("close").over(order)
+    prior = F.col("prev_close") if "prev_close" in panel.columns else before
+    moved = panel.join(calendar, "session_date").select("session_idx", "symbol", "open", "high", "low", "close", prior.alias("prev_close"), "volume", "turnover_inr", F.ln(F.try_divide("close", before)).alias("r"))
     anchors = panel.groupBy("symbol").agg(F.min_by("close", "session_date").alias("anchor"))
-    rows = gather(paths, moved.select("session_idx", "symbol", "r", "turnover_inr")).join(anchors, "symbol")
+    rows = gather(paths, moved).join(anchors, "symbol")
     level = F.sum(F.coalesce("r", F.lit(0.0))).over(W.partitionBy("path_id", "symbol").orderBy("step").rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("path_id", "step", "symbol", (F.col("anchor") * F.exp(level)).alias("close"), "turnover_inr")
+    rows = rows.withColumn("level", F.col("anchor") * F.exp(level)).withColumn("scale", F.try_divide("level", "close"))
+    scaled = [(F.col(c) * F.col("scale")).alias(c) for c in ("open", "high", "low")]
+    return rows.select("path_id", "step", "symbol", *scaled, F.col("level").alias("close"), (F.col("prev_close") * F.col("scale")).alias("prev_close"), "volume", "turnover_inr", F.col("r").isNull().alias("carried"))
+
+
+def panel_diagnostics(synthetic: DataFrame, members: DataFrame) -> DataFrame:
+    """One row a path: expected (members of its steps), missing (those without a row), carried rows, and the largest move
+    between neighbouring rows of a symbol. members: (step, symbol)."""
+    order = W.partitionBy("path_id", "symbol").orderBy("step")
+    moves = synthetic.withColumn("move", F.abs(F.try_divide("close", F.lag("close").over(order)) - 1))
+    own = moves.groupBy("path_id").agg(F.count_if("carried").alias("carried"), F.max("move").alias("max_move"))
+    wanted = synthetic.select("path_id").distinct().join(members.groupBy().agg(F.count("*").alias("expected")))
+    found = synthetic.join(members, ["step", "symbol"]).groupBy("path_id").agg(F.count("*").alias("found"))
+    return wanted.join(found, "path_id", "left").join(own, "path_id").select("path_id", "expected", (F.col("expected") - F.coalesce("found", F.lit(0))).alias("missing"), "carried", "max_move")
+
+
+def masked(synthetic: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of members (step, symbol) only."""
+    return synthetic.join(members.select("step", "symbol"), ["step", "symbol"], "left_semi")
+
+
+def rerun(synthetic: DataFrame, calendar: DataFrame, scores: Callable[[DataFrame], DataFrame], *, quantile: float = 0.2, scale: float = 1.0) -> DataFrame:
+    """path_id, session_date, gross_return, gross_exposure, turnover of a long-short strategy that decides anew on each
+    path's panel. All paths are one job: a path's names are names of their own (PATH/NAME), its cross-sections those of a
+    factor of its own, and it is a strategy. scores: a panel (session_date, symbol, prices, adj_close) to (session_date,
+    symbol, score)."""
+    steps = calendar.select(F.col("session_idx").alias("step"), "session_date")
+    named = synthetic.join(steps, "step").withColumns({"adj_close": F.col("close"), "symbol": F.concat(F.col("path_id").cast("string"), F.lit("/"), F.col("symbol"))})
+    fills = calendar.withColumn("fill", F.lead("session_date").over(W.orderBy("session_date"))).where("fill is not null").select("session_date", "fill")
+    own = scores(named).withColumn("factor", F.substring_index("symbol", "/", 1))
+    books = long_short(own, quantile=quantile).join(fills, "session_date")
+    weights = books.select(F.col("factor").alias("strategy"), F.col("fill").alias("session_date"), "symbol", (F.col("weight") * scale).alias("weight"))
+    out = gross(weights, weights.select("strategy", "session_date").distinct(), named, calendar)
+    return out.withColumn("path_id", F.col("strategy").cast("bigint")).drop("strategy")
+
+
+def sharpe_by(returns: DataFrame, by: list[str], *, at_least: int = 2) -> DataFrame:
+    per = returns.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd")).where((F.col("n") >= at_least) & (F.col("sd") > 1e-12))
+    return per.select(*by, "n", (F.col("m") / F.col("sd") * math.sqrt(DAYS)).alias("sharpe"))
+
+
+def fragility_across_paths(returns: DataFrame, by: list[str], *, floor: float = 0.05) -> DataFrame:
+    """by, paths, fragility, near_zero: variance over absolute mean of a strategy's Sharpe ratios on paths."""
+    ratios = sharpe_by(returns, [*by, "path_id"])
+    out = ratios.groupBy(*by).agg(F.count("*").alias("paths"), F.var_samp("sharpe").alias("v"), F.avg("sharpe").alias("m"))
+    return out.select(*by, "paths", F.when((F.col("paths") >= 2) & (F.col("m") != 0), F.col("v") / F.abs("m")).alias("fragility"), ((F.col("paths") < 2) | (F.abs("m") < floor)).alias("near_zero"))
+
+
+def resampled_fragility(paths: DataFrame, returns: DataFrame, states: DataFrame, by: list[str], *, at_least: int = 21) -> tuple[DataFrame, DataFrame]:
+    """Both definitions on returns (by, session_idx, ret) resampled along paths, the decisions held fixed: fragility
+    across paths; and the mean over paths of the fragility across regimes, states (session_idx, state) being resampled
+    with the returns."""
+    drawn = gather(paths, returns.join(states, "session_idx"))
+    inside = fragility(drawn, [*by, "path_id"], at_least=at_least)
+    return fragility_across_paths(drawn, by), inside.groupBy(*by).agg(F.avg("fragility").alias("mean_fragility"), F.count("fragility").alias("paths"))
+
+
+def revisions(labels: DataFrame) -> DataFrame:
+    """refit_date, n, changed, rate: of the sessions that a refit and the one before it both label, those that it labels
+    otherwise. labels: (refit_date, session_date, state), a row for each refit that labels the session."""
+    order = W.partitionBy("session_date").orderBy("refit_date")
+    both = labels.withColumn("before", F.lag("state").over(order)).where("before is not null")
+    return both.groupBy("refit_date").agg(F.count("*").alias("n"), F.count_if(F.col("state") != F.col("before")).alias("changed"), F.avg((F.col("state") != F.col("before")).cast("double")).alias("rate"))
+
+
+def terminal_disagreement(labels: DataFrame) -> DataFrame:
+    """refit_date, n, rate: how often a refit's labels differ from those of the last refit that labels the session."""
+    last = F.max_by("state", "refit_date").over(W.partitionBy("session_date"))
+    return labels.withColumn("final", last).groupBy("refit_date").agg(F.count("*").alias("n"), F.avg((F.col("state") != F.col("final")).cast("double")).alias("rate"))
 
 
 def fragility(returns: DataFrame, by: list[str], *, at_least: int = 21, floor: float = 0.05) -> DataFrame:
@@ -160,18 +233,31 @@ def fragility(returns: DataFrame, by: list[str], *, at_least: int = 21, floor: f
 
 
 def battery(returns: DataFrame, by: list[str], order_by: str = "step") -> DataFrame:
-    """Moments of each path: mean, sd, skew, kurtosis (population), autocorrelations of returns and of their sizes, the
-    5 % quantile and the largest drawdown (positive)."""
+    """Moments of each path: mean, sd, skew, kurtosis (population), autocorrelation of returns, those of their sizes at 1,
+    5 and 21 sessions, the 5 % quantile and the largest drawdown (positive)."""
     order = W.partitionBy(*by).orderBy(order_by)
     run = order.rowsBetween(W.unboundedPreceding, 0)
-    staged = returns.withColumns({"before": F.lag("ret").over(order), "equity": F.product(1 + F.col("ret")).over(run)})
+    staged = returns.withColumns({"before": F.lag("ret").over(order), "before_5": F.lag("ret", 5).over(order), "before_21": F.lag("ret", 21).over(order), "equity": F.product(1 + F.col("ret")).over(run)})
     staged = staged.withColumn("fall", 1 - F.col("equity") / F.greatest(F.lit(1.0), F.max("equity").over(run)))
     return staged.groupBy(*by).agg(
         F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("kurtosis"),
-        F.corr("ret", "before").alias("autocorrelation"), F.corr(F.abs("ret"), F.abs("before")).alias("size_autocorrelation"), F.percentile("ret", 0.05).alias("p05"), F.max("fall").alias("max_drawdown"),
+        F.corr("ret", "before").alias("autocorrelation"), *[F.corr(F.abs("ret"), F.abs(c)).alias(n) for c, n in (("before", "size_autocorrelation"), ("before_5", "size_autocorrelation_5"), ("before_21", "size_autocorrelation_21"))], F.percentile("ret", 0.05).alias("p05"), F.max("fall").alias("max_drawdown"),
     )
 
 
+BATTERY = ("mean", "sd", "skew", "kurtosis", "autocorrelation", "size_autocorrelation", "size_autocorrelation_5", "size_autocorrelation_21", "p05", "max_drawdown")
+
+
+def compare_battery(synthetic: DataFrame, real: DataFrame) -> DataFrame:
+    """statistic, real, low, high (5 % and 95 % of the paths), percentile (share of paths at or below the real value) and
+    inside. Both have a row a series with BATTERY columns; real has one row."""
+    long = synthetic.unpivot(["path_id"], list(BATTERY), "statistic", "value").where("value is not null")
+    own = real.select(F.lit(0).alias("x"), *BATTERY).unpivot(["x"], list(BATTERY), "statistic", "real").drop("x")
+    both = long.join(F.broadcast(own), "statistic")  # ten rows
+    out = both.groupBy("statistic", "real").agg(F.percentile("value", 0.05).alias("low"), F.percentile("value", 0.95).alias("high"), F.avg((F.col("value") <= F.col("real")).cast("double")).alias("percentile"))
+    return out.withColumn("inside", F.col("real").between(F.col("low"), F.col("high")))
+
+
 def block_length(returns: np.ndarray) -> tuple[float, int]:
     """(block length, bandwidth) for a stationary bootstrap by the automatic rule of Politis and White (2004)."""
     x = np.asarray(returns, float) - np.mean(returns)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitwright.functions import statistics
-from pitwright.operators import adjust, backtest, calendar, capacity, costs, evaluate, features, labels, metrics, strategies, stress, universe
+from pitwright.operators import adjust, backtest, calendar, capacity, costs, evaluate, features, labels, metrics, stress, universe
 from pitwright.plans.relational import ORACLES, QUERIES, query, r, sql, week
 from pitwright.sources.panels import event_panel, net_flow, price_panel, table
 
@@ -182,11 +179,6 @@ def d04(spark, sf):
     return universe.select(all_ranks, held, size=8, entry=5, exit=10)
 
 
-@query("d05_universe_history")
-def d05(spark, sf):
-    return universe.history(ranks(spark, sf), size=5, entry=4, exit=7)
-
-
 @query("d07_detect_adjustments", sql("SELECT symbol, session_date AS ex_date, round(f, 6) AS factor FROM (SELECT symbol, session_date, lag(close) OVER w / open AS f, session_idx - lag(session_idx) OVER w = 1 AS adj FROM dy JOIN dcal USING (session_date) WINDOW w AS (PARTITION BY symbol ORDER BY session_date)) WHERE adj AND (f > 1.05 OR f < 1 / 1.05)"))
 def d07(spark, sf):
     panel = price_panel(spark, sf, "day").withColumn("prev_close", F.col("open"))
@@ -277,13 +269,6 @@ def b06(spark, sf):
     return backtest.gross(*momentum_run(spark, sf)).select("session_date", r("gross_return").alias("gross_return"), r("gross_exposure").alias("gross_exposure"), r("turnover").alias("turnover"))
 
 
-@query("b07_net_backtest")
-def b07(spark, sf):
-    # The test tables are older than the first rates.
-    early = (dataclasses.replace(costs.SCHEDULE[0], effective_from="1990-01-01"), *costs.SCHEDULE[1:])
-    return backtest.net(*momentum_run(spark, sf), depository=costs.DEPOSITORY, schedule=early)
-
-
 @query("b04_clamp", sql("SELECT session_date, symbol, round(CASE WHEN g > 1 THEN weight / g ELSE weight END, 9) AS weight FROM (SELECT *, sum(abs(weight)) OVER (PARTITION BY session_date) AS g FROM book WHERE symbol <> 'Brand#13')", MOMENTUM))
 def b04(spark, sf):
     panel = week(spark, sf)
@@ -302,50 +287,6 @@ def b20(spark, sf):
     return metrics.purged_folds(spark, 103, 5, horizon=4, embargo=2)
 
 
-for _name in strategies.STRATEGIES:
-
-    def _strategy(spark, sf, name=_name):
-        panel = week(spark, sf)
-        return strategies.weights(panel, calendar.build(panel), name, scale=5).select("session_date", "symbol", r("weight", 9).alias("weight"))
-
-    QUERIES[f"s_{_name}"] = _strategy
-
-LAST = "nx AS (SELECT session_date, lead(session_date) OVER (ORDER BY session_date) AS fill FROM cal)"
-
-
-def _top(score: str, order: str = "DESC", extra: str = "true", ctes: str = RET) -> str:
-    """Oracle of a strategy of ten equal weights by a score."""
-    return sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, row_number() OVER (PARTITION BY session_date ORDER BY s {order}, symbol) AS k FROM (SELECT symbol, session_date, {score} AS s FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY session_date)) WHERE s IS NOT NULL AND {extra}) JOIN nx USING (session_date) WHERE k <= 10 AND fill IS NOT NULL", f"{ctes}, {LAST}")
-
-
-def _frame(how: str, n: int) -> str:
-    w = f"(PARTITION BY symbol ORDER BY session_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    c = how[how.index("(") + 1 : -1]
-    return f"CASE WHEN count({c}) OVER {w} = {n} THEN {how} OVER {w} END"
-
-
-ORACLES |= {
-    "s_simple_momentum_63d": _top("close / lag(close, 12) OVER w - 1"),
-    "s_mean_reversion_5d": _top("close / lag(close, 2) OVER w - 1", "ASC"),
-    "s_momentum_skip_month": _top("lag(close, 4) OVER w / lag(close, 50) OVER w - 1"),
-    "s_low_volatility": _top(_frame("stddev_samp(ret)", 12), "ASC", "s > 0"),
-    "s_high_volatility": _top(_frame("stddev_samp(ret)", 12)),
-    "s_min_drawdown": _top(f"close / ({_frame('max(close)', 25)}) - 1"),
-    "s_liquidity_tilt": _top(_frame("avg(turnover_inr)", 4)),
-    "s_equal_weight_universe": sql("SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM wk JOIN nx USING (session_date) WHERE fill IS NOT NULL", LAST),
-    "s_breakout_20d": sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, close - ({_frame('max(close)', 4)}) AS s FROM wk) JOIN nx USING (session_date) WHERE s >= 0 AND fill IS NOT NULL", LAST),
-    "s_price_above_sma": sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, close - ({_frame('avg(close)', 10)}) AS s FROM wk) JOIN nx USING (session_date) WHERE s > 0 AND fill IS NOT NULL", LAST),
-    "s_cross_sectional_zscore": _top("close / lag(close, 4) OVER w - 1"),
-    "s_long_term_reversal_756d": _top("close / lag(close, 151) OVER w - 1", "ASC"),
-    "s_gap_fade": sql("SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, row_number() OVER (PARTITION BY session_date ORDER BY s, symbol) AS k FROM (SELECT symbol, session_date, open / lag(close) OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS s FROM wk) WHERE s <= -0.02) JOIN nx USING (session_date) WHERE k <= 5 AND fill IS NOT NULL", LAST),
-    "s_donchian_channel": sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, (close - lo) / nullif(hi - lo, 0) AS s FROM (SELECT symbol, session_date, close, {_frame('min(close)', 11)} AS lo, {_frame('max(close)', 11)} AS hi FROM wk)) JOIN nx USING (session_date) WHERE s >= 0.8 AND fill IS NOT NULL", LAST),
-    "s_volatility_breakout": sql(f"SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, ({_frame('stddev_samp(ret)', 4)}) - 1.25 * ({_frame('stddev_samp(ret)', 25)}) AS s FROM ret) JOIN nx USING (session_date) WHERE s > 0 AND fill IS NOT NULL", f"{RET}, {LAST}"),
-    "s_seasonality_day_of_week": sql("SELECT fill AS session_date, symbol, round(1.0 / count(*) OVER (PARTITION BY fill), 9) AS weight FROM wk JOIN nx USING (session_date) WHERE fill IS NOT NULL AND isodow(session_date) IN (1, 2)", LAST),
-    "s_trend_persistence": _top(_frame("avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END)", 12)),
-    "s_inverse_volatility_weighted": sql(f"SELECT fill AS session_date, symbol, round((1 / s) / sum(1 / s) OVER (PARTITION BY fill), 9) AS weight FROM (SELECT symbol, session_date, {_frame('stddev_samp(ret)', 12)} AS s FROM ret) JOIN nx USING (session_date) WHERE s > 0 AND fill IS NOT NULL", f"{RET}, {LAST}"),
-}
-
-
 # Statistics and evaluation
 
 
@@ -360,19 +301,6 @@ def a06(spark, sf):
     return evaluate.abstention_curve(rows, [0.1, 0.25, 0.5, 1.0]).withColumn("performance", r("performance", 4))
 
 
-@query("a03_overfitting")
-def a03(spark, sf):
-    rows = features.with_returns(week(spark, sf)).where("ret is not null")
-    cal = calendar.build(rows)
-    return evaluate.overfitting(spark, rows.join(cal, "session_date").select(F.col("symbol").alias("strategy"), F.col("session_idx").alias("idx"), "ret"))
-
-
-@query("a02_deflated_sharpe")
-def a02(spark, sf):
-    rows = features.with_returns(week(spark, sf)).where("ret is not null")
-    return statistics.deflate(statistics.moments(rows, ["symbol"], "ret"))
-
-
 @query("e20_exact_duplicates", sql("SELECT symbol AS name, min(symbol) OVER (PARTITION BY sig) AS cluster FROM (SELECT symbol, string_agg(session_date || ':' || n, ',' ORDER BY session_date) AS sig FROM ev GROUP BY symbol)"))
 def e20(spark, sf):
     return evaluate.exact_duplicates(event_panel(spark, sf).select(F.col("symbol").alias("name"), "session_date", F.col("n").cast("double").alias("ret")))
@@ -395,26 +323,6 @@ def r05(spark, sf):
     return stress.regime_labels(stress.regime_features(index(spark, sf)), ["1996-01-01", "1997-01-01"], at_least=60)
 
 
-@query("r08_bootstrap_paths")
-def r08(spark, sf):
-    return stress.bootstrap_paths(spark, 60, 50, 8.0, 42)
-
-
-@query("r09_moment_battery")
-def r09(spark, sf):
-    order = W.orderBy("session_date")
-    series = index(spark, sf).withColumn("ret", F.try_divide("close", F.lag("close").over(order)) - 1).where("ret is not null")
-    series = series.withColumn("session_idx", (F.row_number().over(order) - 1).cast("int")).select("session_idx", "ret")
-    return stress.battery(stress.gather(stress.bootstrap_paths(spark, series.count(), 1000, 8.0, 42), series), ["path_id"])
-
-
-@query("r10_synthetic_panel")
-def r10(spark, sf):
-    panel = week(spark, sf)
-    cal = calendar.build(panel)
-    return stress.synthetic_panel(stress.bootstrap_paths(spark, cal.count(), 100, 8.0, 42), panel, cal)
-
-
 @query("r12_fragility", sql("SELECT symbol, count(*) AS regimes, round(var_samp(s) / abs(avg(s)), 4) AS fragility FROM (SELECT symbol, year(session_date) AS state, avg(ret) / stddev_samp(ret) * sqrt(252) AS s FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 21 AND stddev_samp(ret) > 1e-12) GROUP BY symbol HAVING count(*) >= 2", RET))
 def r12(spark, sf):
     rows = features.with_returns(week(spark, sf)).where("ret is not null").withColumn("state", F.year("session_date"))

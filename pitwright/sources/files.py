@@ -25,6 +25,27 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one under /tmp if all runs on
+    this machine, else an error: executors elsewhere would lose what they write there."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise DataIntegrityError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = "file:///tmp/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", at)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """A text that changes when the files under a path do."""
+    fs, at = _fs(spark, path)
+    summary = fs.getContentSummary(at)
+    return f"{path}:{fs.getFileStatus(at).getModificationTime()}:{summary.getLength()}:{summary.getFileCount()}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = _fs(spark, path)
     return bool(fs.exists(at))
@@ -45,9 +66,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(at, True)
-    if not fs.rename(draft, at):
-        raise OSError(f"{path} could not be written")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    context = jvm.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = jvm.Options.Rename.OVERWRITE
+    context.rename(draft, at, options)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,14 @@ LEAKY = {
     "boundary_crossing_window": "def f(view):\n    return view.closes(5).rolling(5, center=True)\n",
     "survivorship_selection": "import polars as pl\nDATA = pl.read_parquet('x')\nclass S:\n    def generate(self, view):\n        return DATA.filter(DATA['d'] == DATA['d'].max())\n",
     "target_in_features": "def f(view, rows):\n    y = view.closes(5).shift(-1)\n    rows.append(y)\n",
+    "future_indexing slice": "def f(series, t):\n    return series[t + 1:]\n",
+    "future_indexing reversed": "def f(view):\n    return view.history(5).reverse().rolling_min(3)\n",
+    "full_sample_fit renamed": "class N:\n    def calibrate(self, rows):\n        self.c = rows.group_by('symbol').mean()\n        return self\nclass S:\n    def __init__(self, book):\n        self.n = N().calibrate(book)\n",
+    "survivorship_selection variable": "class S:\n    def __init__(self, members):\n        last = members['day'].max()\n        self.names = members.filter(col('day') == last)['symbol'].to_list()\n    def generate(self, view):\n        return [s for s in view.symbols if s in self.names]\n",
+    "target_in_features branch": "def f(df, feats):\n    if df:\n        y = df.shift(-1)\n    feats.append(y)\n",
+    "target_in_features returned": "class S:\n    def generate(self, view):\n        edge = view.closes().shift(-1)\n        return edge\n",
+    "future_indexing as_of": "class S:\n    def __init__(self, p):\n        self.p = p\n    def generate(self, view):\n        return self.p.filter(col('day') == view.as_of)\n",
+    "point_in_time_bypass file": "import polars as pl\ndef rows():\n    return pl.read_parquet('x')\nclass S:\n    def generate(self, view):\n        return rows()\n",
     "snooped_parameter": "class S:\n    def __init__(self):\n        best = 0\n        for n in [5, 10, 20]:\n            if score(n) > best:\n                best = n\n",
 }
 
@@ -31,7 +39,7 @@ LEAKY = {
 def test_audit_catches_each_class_and_leaves_honest_code(spark):
     assert audit.audit_source(HONEST) == []
     for leak, source in LEAKY.items():
-        assert leak in {f.leak_class for f in audit.audit_source(source)}, leak
+        assert leak.split()[0] in {f.leak_class for f in audit.audit_source(source)}, leak
     assert [f.severity for f in audit.audit_source("def (")] == ["high"]
     rows = spark.createDataFrame([("honest", HONEST), ("none", None), *LEAKY.items()], "name string, source string")
     got = {r.name: r.rejected for r in audit.findings(rows).collect()}
@@ -40,6 +48,20 @@ def test_audit_catches_each_class_and_leaves_honest_code(spark):
     assert audit.first_object('noise {bad} {"a": {"b": 1}} {"c": 2}') == {"a": {"b": 1}} and audit.first_object("{") is None
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "def f(df):\n    return df['close'].shift(1)\n",
+        "class S:\n    def __init__(self, lookback=63):\n        self.n = lookback\n    def generate(self, view):\n        c = view.closes(self.n)\n        w = c.filter(c['x'] > c['x'].mean())['symbol'].to_list()\n        return {s: 1 / len(w) for s in w}\n",
+        "class S:\n    def generate(self, view):\n        target_weight = 1.0 / len(view.symbols)\n        return {s: target_weight for s in view.symbols}\n",
+        "def f(window):\n    return sum(window) / len(window)\n",
+        "",
+    ],
+)
+def test_honest_sources_are_not_rejected(source):
+    assert not any(f.severity == "high" for f in audit.audit_source(source))
+
+
 def test_write_once_and_verify(spark, tmp_path):
     path = f"file://{tmp_path}/raw"
     meta = files.write_once(spark.range(5), path, "test")
@@ -69,13 +91,35 @@ def test_ledger_and_manifest(spark, tmp_path):
 
 
 def test_price_and_participant_files(spark, tmp_path):
-    head = "SYMBOL, SERIES, PREV_CLOSE, OPEN_PRICE, HIGH_PRICE, LOW_PRICE, CLOSE_PRICE, TTL_TRD_QNTY, TURNOVER_LACS\n"
-    (tmp_path / "p.csv").write_text(head + 'A, EQ, 9, 10, 12, 9, 11, "1000", 2.5\nB, BE, 1, 1, 1, 1, 1, 1, 1\n')
-    row = panels.read_price_csv(spark, f"file://{tmp_path}/p.csv", "2024-01-02").collect()
-    assert [(r.symbol, r.close, r.turnover_inr) for r in row] == [("A", 11.0, 250_000.0)]
-    (tmp_path / "bad.csv").write_text(head + "A, BE, 9, 10, 12, 9, 11, 1000, 2.5\n")
+    head = "SYMBOL, SERIES, DATE1, PREV_CLOSE, OPEN_PRICE, HIGH_PRICE, LOW_PRICE, CLOSE_PRICE, TTL_TRD_QNTY, TURNOVER_LACS\n"
+    good = head + 'A, EQ, 02-Jan-2024, 9, 10, 12, 9, 11, "1,000", 2.5\nB, BE, 02-Jan-2024, 1, 1, 1, 1, 1, 1, 1\n'
+
+    def read(text, day="2024-01-02"):
+        (tmp_path / "p.csv").write_text(text)
+        return panels.read_price_csv(spark, f"file://{tmp_path}/p.csv", day).collect()
+
+    assert [(r.symbol, r.close, r.volume, r.turnover_inr) for r in read(good)] == [("A", 11.0, 1000.0, 250_000.0)]
+    assert len(read(good.replace("02-Jan-2024", "2024-01-02"))) == 1 and len(read(good.replace("02-Jan-2024", "02-JANUARY-2024"))) == 1
+    old = "SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TIMESTAMP,ISIN\nA,EQ,10,12,9,11,9,1000,11000,02-JAN-2020,X\n"
+    assert [(r.close, r.turnover_inr) for r in read(old, "2020-01-02")] == [(11.0, 11_000.0)]
+    for text, why in [
+        (head + "A, BE, 02-Jan-2024, 9, 10, 12, 9, 11, 1000, 2.5\n", "no equity rows"),
+        (good.replace("02-Jan", "01-Jan"), "is of 2024-01-01"),
+        (good + "C, EQ, 03-Jan-2024, 9, 10, 12, 9, 11, 1000, 2.5\n", "bears 2 dates"),
+        (good.replace("02-Jan-2024", ""), "bears 0 dates"),
+        (good.replace("02-Jan-2024", "02/01/2024"), "can't be read"),
+        (good.replace(", 11,", ", 0,"), "positive close"),
+        ("<!DOCTYPE html>\n<html></html>", "web page"),
+        ("\n", "is empty"),
+        (good.replace("DATE1", "DAY"), "missing columns DATE1"),
+    ]:
+        with pytest.raises(DataIntegrityError, match=why):
+            read(text)
+    assert spark.range(1).select(panels.session_path("/raw", "2024-01-02")).first()[0] == "/raw/prices/session_date=2024-01-02"
+    days = lambda *d: spark.createDataFrame(d, "session_date string, close double")
+    assert sorted(map(tuple, panels.stitch(days(("a", 2.0), ("a", 1.0)), days(("b", 3.0))).collect())) == [("a", 1.0), ("b", 3.0)]
     with pytest.raises(DataIntegrityError):
-        panels.read_price_csv(spark, f"file://{tmp_path}/bad.csv", "2024-01-02")
+        panels.stitch(days(("a", 2.0)), days(("a", 3.0)))
     names = "Client Type,Future Index Long,Future Index Short,Total Long Contracts,Total Short Contracts"
     lines = ["title", names, *[f'{c},1,2,"1,0{i}",4' for i, c in enumerate(("Client", "DII", "FII", "Pro", "TOTAL"))]]
     table = spark.createDataFrame(list(enumerate(lines)), "number int, value string")
