@@ -127,10 +127,10 @@ def b15(spark, sf):
     return legs(spark, sf).select("o_orderkey", r(costs.impact(F.col("turnover"), F.col("traded_value"), F.lit(0.03)), 8).alias("impact"))
 
 
-@query("b17_average_daily_value", sql("SELECT symbol, session_date, round(avg(close * volume) OVER (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING), 7) AS adv FROM dy"))
+@query("b17_average_daily_value", sql("SELECT symbol, session_date, round(close * volume / avg(close * volume) OVER (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING), 6) AS relative FROM dy"))
 def b17(spark, sf):
     panel = day(spark, sf)
-    return panel.select("symbol", "session_date", r(studies.adv(panel, 21), 7).alias("adv"))
+    return panel.select("symbol", "session_date", r(F.col("close") * F.col("volume") / studies.adv(panel, 21)).alias("relative"))
 
 
 RESULTS = f"{RET}, res AS (SELECT symbol AS strategy, session_date, greatest(-0.5::DOUBLE, least(0.5::DOUBLE, ret)) / 50 AS g, greatest(-0.5::DOUBLE, least(0.5::DOUBLE, ret)) / 50 - 0.0045::DOUBLE AS n FROM ret WHERE ret IS NOT NULL), sh AS (SELECT strategy, avg(g) / stddev_samp(g) * sqrt(252) AS gs, avg(n) / stddev_samp(n) * sqrt(252) AS ns FROM res GROUP BY 1)"
