@@ -6,7 +6,9 @@ import datetime as dt
 import hashlib
 import json
 import logging
+import platform
 import random
+import subprocess
 import time
 import uuid
 from contextlib import contextmanager
@@ -106,15 +108,45 @@ def write_derived(df: DataFrame, path: str, *partition_by: str) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def write_markdown(df: DataFrame, path: str, *, most: int = 10_000) -> None:
+    """A Markdown table, for small tables that people read; raises beyond `most` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise DataIntegrityError(f"more than {most} rows are no sheet to read")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in row] for row in rows]]
+    write_text(df.sparkSession, path, "".join(f"| {' | '.join(line)} |\n" for line in lines))
+
+
 def write_sheet(df: DataFrame, path: str) -> None:
     """One CSV file; for small tables that people read."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def revision(folder: str = ".") -> str | None:
+    """The commit that a checkout is at; null outside of one."""
+    try:
+        found = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
+    except OSError:
+        return None
+    return found.stdout.strip() or None
+
+
 @contextmanager
-def manifest(spark: SparkSession, path: str, **inputs: Any):
-    """A record of one execution, written also when it fails; the caller may add to it."""
-    record = {"run": uuid.uuid4().hex, "application": spark.sparkContext.applicationId, "spark": spark.version, "started_at": dt.datetime.now(dt.UTC).isoformat(), "inputs": inputs, "error": None}
+def manifest(spark: SparkSession, path: str, *, config: dict | None = None, paths: dict[str, str] | None = None, **inputs: Any):
+    """A record of one execution, written also when it fails; the caller may add to it. config: recorded by its hash;
+    paths: named Parquet inputs, recorded by the hashes of their files."""
+    record = {
+        "run": uuid.uuid4().hex,
+        "revision": revision(),
+        "application": spark.sparkContext.applicationId,
+        "versions": {"spark": spark.version, "python": platform.python_version(), "numpy": np.__version__},
+        "config_sha256": canonical_hash(config) if config is not None else None,
+        "input_sha256": {n: digest(spark, p) for n, p in (paths or {}).items()},
+        "started_at": dt.datetime.now(dt.UTC).isoformat(),
+        "inputs": inputs,
+        "error": None,
+    }
     start = time.monotonic()
     try:
         yield record
@@ -149,11 +181,15 @@ def read_records(spark: SparkSession, pattern: str, kind: str) -> DataFrame:
     return spark.read.schema(kind).option("multiLine", True).json(pattern).withColumn("file", F.input_file_name())
 
 
+#: How a timeline may write its days; a month or a year alone stands for its first day.
+EVENT_DATES = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyy-MM", "yyyy")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """A checked timeline: announced_date, effective_date, category, title, description, source_url."""
     kind = "announced_date string, effective_date string, category string, title string, description string, source_url string"
     rows = spark.read.schema(kind).option("header", True).csv(path)
-    day = lambda c: F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
+    day = lambda c: F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in EVENT_DATES])
     return validate_events(rows.withColumns({c: day(c) for c in ("announced_date", "effective_date")})).orderBy("announced_date", "title")
 
 
@@ -176,12 +212,29 @@ def validate_events(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def load_config(text: str, required: tuple[str, ...] = ()) -> tuple[dict, str]:
-    """(configuration, hash of its canonical form) of a YAML document."""
+def canonical_hash(config: dict) -> str:
+    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()
+
+
+def load_config(text: str, required: tuple[str, ...] = (), kinds: dict[str, type] | None = None) -> tuple[dict, str]:
+    """(configuration, hash of its canonical form) of a YAML document. kinds: types of values by dotted path, each of
+    which must be there and of that type."""
     config = yaml.safe_load(text) or {}
     if missing := [k for k in required if k not in config]:
         raise DataIntegrityError(f"missing sections: {', '.join(missing)}")
-    return config, hashlib.sha256(json.dumps(config, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()
+    for path, kind in (kinds or {}).items():
+        value = config
+        for part in path.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        if not isinstance(value, kind) or isinstance(value, bool) and kind is not bool:
+            raise DataIntegrityError(f"{path} is no {kind.__name__}")
+    return config, canonical_hash(config)
+
+
+def read_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, source) of the Python files under a folder."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).load(folder)
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.py$", 1).alias("name"), F.col("content").cast("string").alias("source"))
 
 
 def seed_everything(seed: int) -> None:
