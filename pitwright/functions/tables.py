@@ -7,7 +7,6 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 
 class BootstrapPath:
@@ -38,7 +37,7 @@ def median_deviation(column: str) -> Column:
 
 def _aggregate():
     # Made on the driver only: workers import this module without a session.
-    return F.pandas_udf(_deviation, "double", PandasUDFType.GROUPED_AGG)
+    return F.pandas_udf(_deviation, "double")
 
 
 def register(spark: SparkSession) -> None:

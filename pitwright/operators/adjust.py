@@ -103,10 +103,13 @@ def without_flagged(panel: DataFrame, flags: DataFrame) -> DataFrame:
     return panel.join(f, (F.col("symbol") == F.col("s")) & F.col("session_date").between(F.col("start_date"), F.col("end_date")), "left_anti")
 
 
-def cross_check(ours: DataFrame, theirs: DataFrame, *, tolerance: float = 0.005, worst: int = 3, report: int = 15) -> tuple[DataFrame, DataFrame]:
-    """(one row: compared, mismatched, rate; the worst differences, some for each symbol and some in all)."""
+def cross_check(ours: DataFrame, theirs: DataFrame, *, tolerance: float = 0.005, worst: int = 3, report: int = 15, ceiling: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row: compared, mismatched, rate; the worst differences, some for each symbol and some in all). ceiling: a rate
+    above it fails when it is computed."""
     both = ours.select("session_date", "symbol", F.col("close").alias("a")).join(theirs.select("session_date", "symbol", F.col("close").alias("b")), ["session_date", "symbol"]).where("b > 0")
     both = both.withColumn("difference", F.abs(F.col("a") / F.col("b") - 1))
     rate = both.agg(F.count("*").alias("compared"), F.count_if(F.col("difference") > tolerance).alias("mismatched")).withColumn("rate", F.try_divide("mismatched", "compared"))
+    if ceiling is not None:
+        rate = rate.withColumn("rate", F.when(F.col("rate") > ceiling, F.raise_error(F.concat(F.lit("share of differences: "), F.col("rate").cast("string"))).cast("double")).otherwise(F.col("rate")))
     place = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("difference"), "session_date"))
     return rate, both.withColumn("r", place).where(F.col("r") <= worst).drop("r").orderBy(F.desc("difference"), "symbol", "session_date").limit(report)

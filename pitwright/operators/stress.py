@@ -245,6 +245,22 @@ def battery(returns: DataFrame, by: list[str], order_by: str = "step") -> DataFr
     )
 
 
+def autocovariances(series: DataFrame, most: int) -> DataFrame:
+    """lag, covariance of a series (session_idx without holes, ret) at lags 0 to `most`, all divided by its length."""
+    level = F.broadcast(series.agg(F.avg("ret").alias("m"), F.count("*").alias("n")))  # one row
+    order = W.orderBy("session_idx")
+    x = series.join(level).withColumn("x", F.col("ret") - F.col("m"))
+    wide = x.select("n", "x", *[F.lag("x", k).over(order).alias(f"l{k}") for k in range(most + 1)])
+    sums = wide.agg(*[(F.sum(F.col("x") * F.col(f"l{k}")) / F.max("n")).alias(f"{k}") for k in range(most + 1)])
+    return sums.withColumn("one", F.lit(1)).unpivot(["one"], [f"{k}" for k in range(most + 1)], "lag", "covariance").select(F.col("lag").cast("bigint").alias("lag"), "covariance")
+
+
+def choose_states(x: np.ndarray, ks: tuple[int, ...] = (2, 3, 4), seed: int = 42) -> tuple[int, dict[int, float]]:
+    """(number of states of the least criterion, criterion by number) of mixtures fitted to x."""
+    found = {k: information_criterion(float(fit_mixture(x, k, seed)["evidence"]), len(x), k, x.shape[1]) for k in ks}
+    return min(found, key=lambda k: (found[k], k)), found
+
+
 BATTERY = ("mean", "sd", "skew", "kurtosis", "autocorrelation", "size_autocorrelation", "size_autocorrelation_5", "size_autocorrelation_21", "p05", "max_drawdown")
 
 

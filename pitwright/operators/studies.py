@@ -204,3 +204,8 @@ def token_accounting(draws: DataFrame) -> DataFrame:
     """arm, tokens, accepted, tokens_per_accepted of draws (arm, tokens, accepted); null without an accepted one."""
     out = draws.groupBy("arm").agg(F.sum("tokens").alias("tokens"), F.count_if("accepted").alias("accepted"))
     return out.withColumn("tokens_per_accepted", F.when(F.col("accepted") > 0, F.col("tokens") / F.col("accepted")))
+
+
+def matched_draws(*, budget: float, cost: float) -> int:
+    """Draws at a cost that a budget pays for, one at least."""
+    return max(1, int(budget // cost))

@@ -611,3 +611,79 @@ def x01(spark, sf):
 
     rows = spark.createDataFrame([(n, s) for n, (s, _) in SAMPLES.items()], "name string, source string")
     return findings(rows).select("name", F.explode("findings").alias("f")).select("name", "f.leak_class", "f.line")
+
+
+# Predictors and what they rest on
+
+PREDICT = f"{MEASURES}, pr AS (SELECT row_number() OVER (ORDER BY symbol, session_date) AS k, abs_ret AS y, turnover_inr / adv_inr AS x FROM meas WHERE abs_ret IS NOT NULL AND adv_inr > 0 AND abs_ret < 50), pf AS (SELECT *, k % 5 AS fold FROM pr)"
+
+
+def predict_rows(spark, sf):
+    m = features.daily_measures(week(spark, sf), window=8).where("abs_ret is not null and adv_inr > 0 and abs_ret < 50")
+    from pitwright.operators.frames import global_rank
+
+    rows = global_rank(m.select("symbol", "session_date", F.col("abs_ret").alias("y"), F.col("rel_value").alias("x")), F.asc("symbol"), F.asc("session_date"))
+    return rows.select(F.col("rank").alias("k"), "x", "y", (F.col("rank") % 5).alias("fold"))
+
+
+@query("r07_autocovariances", sql("SELECT lag, round(sum(a.x * b.x) / (SELECT count(*) FROM se), 6) AS covariance FROM (SELECT session_idx, ret - (SELECT avg(ret) FROM se) AS x FROM se) a JOIN (SELECT session_idx, ret - (SELECT avg(ret) FROM se) AS x FROM se) b ON b.session_idx >= a.session_idx AND b.session_idx <= a.session_idx + 20, LATERAL (SELECT b.session_idx - a.session_idx AS lag) GROUP BY 1", SERIES))
+def r07(spark, sf):
+    return stress.autocovariances(index_series(spark, sf), 20).select("lag", r("covariance").alias("covariance"))
+
+
+@query("r19_out_of_fold", sql("SELECT k, round(regr_intercept(o.y, o.x) + regr_slope(o.y, o.x) * any_value(t.x), 5) AS predicted, round(avg(o.y), 6) AS mean_of_others FROM pf t JOIN (SELECT a.f AS fold, y, x FROM pf, (SELECT unnest(range(5)) AS f) a WHERE pf.fold <> a.f) o USING (fold) GROUP BY k", PREDICT).replace("FROM pf t JOIN", "FROM pf t JOIN"))
+def r19(spark, sf):
+    from pitwright.operators import predict
+
+    out = predict.out_of_fold(predict_rows(spark, sf), ["x"], "y", kind="linear")
+    return out.select("k", r("predicted", 5).alias("predicted"), r("mean_of_others").alias("mean_of_others"))
+
+
+@query("r20_leave_one_out", sql("SELECT k, round((sxy - n / (n - 1) * (x - mx) * (y - my)) / (sxx - n / (n - 1) * (x - mx) ** 2), 6) AS slope FROM pr, (SELECT count(*)::DOUBLE AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM pr)", PREDICT))
+def r20(spark, sf):
+    from pitwright.operators import predict
+
+    return predict.leave_one_out(predict_rows(spark, sf), "k", "x", "y").select("k", r("slope").alias("slope"))
+
+
+@query("r20_learning_curve", sql("SELECT size, round(regr_slope(y, x), 6) AS slope, round(regr_r2(y, x), 6) AS r_squared FROM pr JOIN (SELECT unnest([100, 400, 1600]) AS size) ON k <= size GROUP BY 1", PREDICT))
+def r20_curve(spark, sf):
+    from pitwright.operators import predict
+
+    return predict.learning_curve(predict_rows(spark, sf), "k", "x", "y", [100, 400, 1600]).select("size", r("slope").alias("slope"), r("r_squared").alias("r_squared"))
+
+
+@query("r20_trimmed", sql("SELECT round(avg(y), 6) AS mean, count(*) AS n FROM pr WHERE y BETWEEN (SELECT quantile_cont(y, 0.1) FROM pr) AND (SELECT quantile_cont(y, 0.9) FROM pr)", PREDICT))
+def r20_trimmed(spark, sf):
+    from pitwright.operators import predict
+
+    return predict.trimmed(predict_rows(spark, sf), "y", 0.1).select(r("mean").alias("mean"), "n")
+
+
+UNIFORM_OF = "(('0x' || substr(sha256('4|' || symbol), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
+@query("a09_matched_subsample", recursive(sql(f"SELECT symbol AS strategy, round({normal.cdf_sql('z1')}, 7) AS dsr FROM zs", deflated("count(*)").replace("WHERE ret IS NOT NULL GROUP BY 1)", f"WHERE ret IS NOT NULL AND symbol IN (SELECT symbol FROM (SELECT DISTINCT symbol FROM wk) ORDER BY {UNIFORM_OF}, symbol LIMIT 12) GROUP BY 1)", 1))))
+def a09(spark, sf):
+    from pitwright.operators.frames import subsample
+
+    rows = series(spark, sf)
+    chosen = subsample(rows.select("strategy").distinct().withColumn("arm", F.lit(1)), ["arm"], "strategy", 12, 4)
+    return studies.statistical_layer(rows.join(chosen.select("strategy"), "strategy", "left_semi")).select("strategy", r("dsr", 7).alias("dsr"))
+
+
+@query("a12_best_of_matched", "SELECT o_orderkey // 7 AS block, max_by(o_orderkey, (o_totalprice, -o_orderkey)) AS idx, round(max(o_totalprice), 4) AS score FROM orders GROUP BY 1")
+def a12(spark, sf):
+    k = studies.matched_draws(budget=3_500, cost=480)
+    trials = table(spark, sf, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").alias("score"))
+    return evaluate.best_of_blocks(trials, k).withColumn("score", r("score", 4))
+
+
+@query("a19_meta_funnel", "SELECT corpus, count(*) AS n, count(*) FILTER (WHERE a) AS traded, round(avg(a::INT), 6) AS traded_rate, count(*) FILTER (WHERE a AND b) AS kept, round(avg((a AND b)::INT), 6) AS kept_rate FROM (SELECT 0 AS corpus, c_acctbal > 0 AS a, c_mktsegment < 'F' AS b FROM customer UNION ALL SELECT 1, s_acctbal > 0, s_nationkey < 12 FROM supplier) GROUP BY 1")
+def a19(spark, sf):
+    from pitwright.operators.frames import funnel
+
+    c = table(spark, sf, "customer").select((F.col("c_acctbal") > 0).alias("a"), (F.col("c_mktsegment") < "F").alias("b"), F.lit("v1").alias("version"))
+    s = table(spark, sf, "supplier").select((F.col("s_acctbal") > 0).alias("a"), (F.col("s_nationkey") < 12).alias("b"), F.lit("v1").alias("version"))
+    out = funnel(studies.pool([c, s], ["version"]), ["corpus"], {"traded": F.col("a"), "kept": F.col("b")})
+    return out.withColumns({c: r(c) for c in ("traded_rate", "kept_rate")})

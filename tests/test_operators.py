@@ -113,3 +113,59 @@ def test_holding_period_and_similarity_by_hand(spark):
     factors = spark.createDataFrame([(day(n), x, y) for n, (x, y) in enumerate([(0.0, 1.0), (1.0, 0.5), (2.0, 2.0), (3.0, -1.0)])], "session_date date, x double, y double")
     fit = studies.joint_betas(returns, factors, ["x", "y"]).first()
     assert np.allclose([fit.alpha, fit.beta_x, fit.beta_y, fit.r_squared], [1, 2, -3, 1])
+
+
+def test_mixture_filter_and_choice():
+    rng = np.random.default_rng(0)
+    states = np.repeat([0, 1, 0, 1], 120)
+    x = np.column_stack([np.where(states, 3.0, -3.0), np.where(states, 1.0, -1.0)]) + rng.normal(size=(480, 2))
+    model = stress.fit_mixture(x, 2, 1, restarts=2, steps=40)
+    probabilities, evidence = stress.forward_filter(model, x)
+    assert (probabilities.argmax(axis=1) == states).mean() > 0.98 and math.isclose(evidence, float(model["evidence"]), rel_tol=1e-3)
+    # A row's probabilities depend on the rows up to it alone.
+    assert np.allclose(stress.forward_filter(model, x[:200])[0], probabilities[:200])
+    total = 0.0
+    for t in range(3):
+        like = np.exp(stress.log_likelihood(x[t : t + 1], model["mean"], model["var"])[0])
+        p = (model["start"] if t == 0 else p @ model["move"]) * like
+        total += math.log(p.sum())
+        p /= p.sum()
+    assert np.allclose(p, probabilities[2]) and math.isclose(total, stress.forward_filter(model, x[:3])[1], rel_tol=1e-9)
+    assert stress.choose_states(x[::4], (1, 2), 1)[0] == 2
+
+
+def test_block_length_grows_with_dependence():
+    rng = np.random.default_rng(2)
+    noise = rng.normal(size=1000)
+    slow = np.zeros(1000)
+    for t in range(1, 1000):
+        slow[t] = 0.8 * slow[t - 1] + noise[t]
+    assert stress.block_length(noise)[0] < 5 < stress.block_length(slow)[0]
+    assert stress.block_length(np.zeros(50)) == (1.0, 1)
+
+
+def test_predictors_find_what_is_there(spark):
+    from pitwright.operators import predict
+
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=300), rng.normal(size=300)
+    rows = spark.createDataFrame([(i, float(a), float(b), float(2 * a + 0.1 * e), i % 3) for i, (a, b, e) in enumerate(zip(x, z, rng.normal(size=300)))], "k int, x double, z double, y double, fold int")
+    for kind in ("ridge", "lasso", "elastic_net", "forest", "boosting"):
+        r2 = predict.out_of_fold_r2(predict.out_of_fold(rows, ["x", "z"], "y", kind=kind, folds=3), "y").first()
+        assert r2.n == 300 and r2.r2 > 0.8, kind
+    loss = {r.feature: r.loss for r in predict.permutation_importance(rows, ["x", "z"], "y", "k", folds=3).collect()}
+    assert loss["x"] > 0.9 and abs(loss["z"]) < 0.05
+    moved = predict.permuted(rows, "x", "k", 1)
+    assert moved.groupBy("fold").agg(F.round(F.sum("x"), 9).alias("s")).orderBy("fold").collect() == rows.groupBy("fold").agg(F.round(F.sum("x"), 9).alias("s")).orderBy("fold").collect()
+
+
+def test_seeds(spark):
+    import random
+
+    from pitwright.sources import files
+
+    draws = []
+    for _ in range(2):
+        files.seed_everything(7)
+        draws.append((random.random(), np.random.random()))
+    assert draws[0] == draws[1]
