@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import require_columns
+from .common import fresh, require_columns
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = tuple(
@@ -33,6 +33,9 @@ THRESHOLD = 0.8
 #: Buckets whose first rows are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
 QUANTILES = 200
+#: Bytes of text for a range of ids, and for a task.
+BUCKET_BYTES = 8 << 20
+TASK_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -49,23 +52,24 @@ def _spots(words_col: str) -> Column:
         for k in range(SKIP + 2, 1, -1):
             later = F.get(w, i + k)
             second = F.when(~later.isin(anchors), later).otherwise(second)
-        return F.when(word.isin(anchors) & ~first.isin(anchors), F.hash(word, first, second))
+        return F.when(word.isin(anchors) & ~first.isin(anchors), F.xxhash64(word, first, second))
 
     return F.array_distinct(F.filter(F.transform(w, spot), lambda h: h.isNotNull()))
 
 
 def _plain(words_col: str, text: Column) -> Column:
     w = F.col(words_col)
-    pairs = F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.hash(x, F.get(w, i + 1))))
-    none = F.array().cast("array<int>")
-    return F.when(F.size(w) > 1, pairs).when(F.size(w) == 1, F.array(F.hash(w[0]))).when(F.length(text) > 0, F.array(F.hash(text))).otherwise(none)
+    pairs = F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1))))
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(w) > 1, pairs).when(F.size(w) == 1, F.array(F.xxhash64(w[0]))).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(none)
 
 
 def signatures(df: DataFrame, *, text_col: str = "text", out_col: str = "signatures") -> DataFrame:
     """df with the set of signature hashes, a list of distinct integers. A column of that name is replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    staged = df.withColumn("__words", words(text)).withColumn("__spots", _spots("__words"))
-    return staged.withColumn(out_col, F.when(F.size("__spots") > 0, F.col("__spots")).otherwise(_plain("__words", text))).drop("__words", "__spots")
+    w, spots = fresh(df, "words"), fresh(df, "spots")
+    staged = df.withColumn(w, words(text)).withColumn(spots, _spots(w))
+    return staged.withColumn(out_col, F.when(F.size(spots) > 0, F.col(spots)).otherwise(_plain(w, text))).drop(w, spots)
 
 
 def fingerprint(signatures_col: str) -> Column:
@@ -96,7 +100,7 @@ def similar_classes(df: DataFrame, *, threshold: float = THRESHOLD, id_col: str
     own = df.select(F.col(id_col).alias("id"), fingerprint(signatures_col).alias("fp"))
     names = own.groupBy("fp").agg(F.min("id").alias("class_id"))
     membership = own.join(names, "fp").select("id", "class_id")
-    sets = names.where("class_id is not null").select("class_id", F.when(F.col("fp") == "", F.array().cast("array<int>")).otherwise(F.split("fp", " ").cast("array<int>")).alias("s"))
+    sets = names.where("class_id is not null").select("class_id", F.when(F.col("fp") == "", F.array().cast("array<bigint>")).otherwise(F.split("fp", " ").cast("array<bigint>")).alias("s"))
     single = sets.select("class_id", F.size("s").alias("n"), F.explode("s").alias("h"))
     rarity = single.groupBy("h").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("class_id").orderBy("df", "h"))
@@ -115,14 +119,16 @@ def with_next(df: DataFrame, add, *, id_col: str = "doc_id", text_col: str = "te
     """(id, text, next_text and the columns that add() makes of text, with theirs of the next row as next_NAME), next
     in ascending order of id (null first, equal ids by text); after the last comes the first.
 
-    Rows are dealt out by ranges of id, cut at quantiles and evenly between them; the first row of each range is sent
-    to the range before it as well. The ranges' first ids, one row each, are sorted in one task.
+    Rows are dealt out by ranges of id, at least one for each BUCKET_BYTES of text, cut at quantiles and evenly between
+    them; the first row of each range is sent to the range before it as well. The ranges' first ids, one row each, are
+    sorted in one task.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coarse = min(buckets, QUANTILES)
-    cuts = rows.agg(F.percentile_approx("id", [i / coarse for i in range(coarse + 1)], 10_000)).first()[0]
+    seen = rows.agg(F.percentile_approx("id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("cuts"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    total, tasks = seen["bytes"] or 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(4 * tasks, -(-total // BUCKET_BYTES))
+    cuts = seen["cuts"]
     cuts = sorted(set(cuts or [0]))
     fine = max(1, math.ceil(buckets / len(cuts)))
     bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts])
@@ -140,7 +146,7 @@ def with_next(df: DataFrame, add, *, id_col: str = "doc_id", text_col: str = "te
     both = placed.join(sent, F.col("id").eqNullSafe(F.col("first")), "left")
     goes = F.filter(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("bucket"), F.lit(1).alias("guest")))), lambda x: x.isNotNull())
     dealt = both.select("id", "text", F.explode(goes).alias("g")).select("id", "text", "g.bucket", "g.guest")
-    made = add(dealt.repartition("bucket"))
+    made = add(dealt.repartition(max(tasks, -(-total // TASK_BYTES)), "bucket"))
     added = [c for c in made.columns if c not in ("id", "text", "bucket", "guest")]
     order = W.partitionBy("bucket").orderBy("guest", F.asc_nulls_first("id"), "text")
     following = [F.lead(c).over(order).alias(f"next_{c}") for c in ["text", *added]]

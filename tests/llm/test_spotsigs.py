@@ -56,7 +56,7 @@ def test_next_of_odd_rows(odd, empty):
 
 
 def test_signatures_and_likeness(odd):
-    rows = spotsigs.signatures(odd).select("text", spotsigs.fingerprint("signatures").alias("fp"), F.size("signatures").alias("n"), spotsigs.likeness(F.col("signatures"), F.array().cast("array<int>")).alias("empty")).collect()
+    rows = spotsigs.signatures(odd).select("text", spotsigs.fingerprint("signatures").alias("fp"), F.size("signatures").alias("n"), spotsigs.likeness(F.col("signatures"), F.array().cast("array<bigint>")).alias("empty")).collect()
     for r in rows:
         assert r.n == len(plain_spots(r.text or "")) and r.empty == (0.0 if r.n else 1.0)
     assert len({r.fp for r in rows if r.text and r.text.startswith("word")}) == 1
