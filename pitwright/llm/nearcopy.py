@@ -2,16 +2,17 @@
 
 Candidates are found by MinHash: BANDS bands of ROWS least values each; texts of likeness j share a band with
 probability 1 - (1 - j ** ROWS) ** BANDS, which is 0.999997 at 0.8 whatever the length of the texts. A candidate
-becomes a link only if the exact likeness of the two sets is high enough.
+becomes a link only if the exact likeness of the two sets is high enough. Before texts are fetched for that, candidates
+whose BANDS * ROWS least values agree in fewer than AGREE places are dropped: a pair of likeness 0.8 is one of these
+with a probability of about 0.000002, so what the bands find is not lost again.
 
-Links are made in two rounds, so that large groups of near copies cost nothing like the square of their size:
+Links are made in two rounds, so that groups of near copies cost nothing like the square of their size:
 
-1. A band's group of up to ALL texts gives all its pairs. A larger one gives edges of spanning trees of least SimHash
-   distances, of blocks of its texts together with a few of its first ones. After exact verification most such groups
-   are one component.
-2. In the larger groups that are not, all pairs of texts of different components are looked at, in blocks of SIDE texts
-   a side. Those whose BANDS * ROWS least values agree in AGREE places at least are verified too; a pair of likeness
-   0.8 agrees in fewer with a probability of about 0.000002, so what the bands find is not lost again.
+1. A band's group gives the edges of a spanning tree of least SimHash distances; a large one those of the trees of its
+   blocks, each together with a few of the group's first texts. After exact verification most groups are one component.
+2. In the groups that are not, pairs of texts of different components are compared in blocks of SIDE texts a side, each
+   pair in the first band that it shares: those that agree in AGREE places are verified there and then, by their sets.
+   What links joins no further pairs, so a block gives a forest of links and not its pairs.
 
 Texts are told apart by a 64-bit hash (node); a text without words has no band and no links.
 """
@@ -23,17 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, map_texts, slices
 from .simhash import fingerprint_of, rooted, shingle_hashes
 
 BANDS = 24
 ROWS = 4
-ALL = 64
+#: Texts of a block, and those of a group's first ones that are in each.
 BLOCK = 2048
-SIDE = 2048
+FIRST = 64
+SIDE = 1024
 AGREE = 57
 #: Rows of one group that a task holds; and pairs that are looked at together.
 HELD = 1 << 16
@@ -57,24 +59,25 @@ def bands(least: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
-def sketches(df: DataFrame, *, shingle: int, keep: list[str], names: tuple[str, ...] = ("node", "fp", "bands", "sketch")) -> DataFrame:
-    """The columns keep, and under these names the hash of the text, its fingerprint, the keys of the bands (none for a
-    text without words) and the last bytes of the least values."""
+def node(text: Column) -> Column:
+    """The hash that stands for a text; null: that of an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def sketches(df: DataFrame, *, shingle: int, keep: list[str]) -> DataFrame:
+    """The columns keep, and fp, bands (none for a text without words) and sketch, the last bytes of the least values."""
 
     def kernel(texts: list[str]) -> list[list]:
-        nodes, fps, keys, lasts = [], [], [], []
+        fps, keys, lasts = [], [], []
         for t in texts:
-            nodes.append(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")))
             hashes = shingle_hashes(t, shingle)
             fps.append(fingerprint_of(hashes))
             least = least_values(np.unique(hashes))
             keys.append(bands(least) if len(hashes) else [])
             lasts.append((least & np.uint64(255)).astype(np.uint8).tobytes())
-        signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
-        return [signed(nodes), signed(fps), keys, lasts]
+        return [np.array(fps, np.uint64).view(np.int64).tolist(), keys, lasts]
 
-    fields = list(zip(names, ("bigint", "bigint", "array<bigint>", "binary")))
-    return map_texts(df, kernel, fields, keep=keep)
+    return map_texts(df, kernel, [("fp", "bigint"), ("bands", "array<bigint>"), ("sketch", "binary")], keep=keep)
 
 
 def tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,12 +125,9 @@ def candidates(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray) -> tuple[np
     first, second = [nodes[:0]], [nodes[:0]]
     for s, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
         own = nodes[s : s + n]
-        if n <= ALL:
-            i, j = np.triu_indices(n, 1)
-            a, b = own[i], own[j]
-        else:
-            bits = fps[s : s + n]
-            a, b = trees(own[ALL:], bits[ALL:], (own[:ALL], bits[:ALL]))
+        bits = fps[s : s + n]
+        first_of = min(FIRST, n - 1)
+        a, b = trees(own[first_of:], bits[first_of:], (own[:first_of], bits[:first_of]))
         first.append(a)
         second.append(b)
     return _ordered(np.concatenate(first), np.concatenate(second))
@@ -160,8 +160,8 @@ def pairs(distinct: DataFrame) -> DataFrame:
             held = k[cut:], node[cut:], fp[cut:]
             if len(held[0]) > HELD:
                 _, node, fp = held
-                long = int(held[0][0]), (node[:ALL], fp[:ALL])
-                out.append(_ordered(*trees(node[ALL:], fp[ALL:], long[1])))
+                long = int(held[0][0]), (node[:FIRST], fp[:FIRST])
+                out.append(_ordered(*trees(node[FIRST:], fp[FIRST:], long[1])))
                 held = tuple(x[:0] for x in held)
             return out
 
@@ -175,56 +175,108 @@ def pairs(distinct: DataFrame) -> DataFrame:
         yield from map(batch_of, flush(True))
 
     spread = distinct.select(F.explode("bands").alias("key"), "node", "fp")
-    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u bigint, v bigint").distinct()
+    return spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "u bigint, v bigint").distinct()
+
+
+class Members:
+    """Rows of a band's group: nodes, numbers of their roots, sketches, bands and sorted sets of hashes."""
+
+    def __init__(self, rows: list[tuple], roots: dict[int, int]):
+        self.node = np.array([r[0] for r in rows], np.int64)
+        self.root = [roots.setdefault(r[1], len(roots)) for r in rows]
+        self.sketch = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.bands = np.array([r[3] for r in rows], np.int64).reshape(len(rows), -1)
+        self.words = [np.frombuffer(r[4], np.uint64) for r in rows]
+        self.size = np.array([len(w) for w in self.words])
+
 
+def across(left: Members, right: Members, key: int, roots: dict[int, int], at_least: float) -> list[tuple[int, int]]:
+    """Links between texts of different roots that are alike; the roots that they join count as one from then on."""
+    parent = list(range(len(roots)))
 
-def across(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (u < v) of different roots that agree in AGREE places; left and right: (node, root, sketch rows)."""
-    out = [(left[0][:0], left[0][:0])]
-    step = max(1, PAIRS // max(1, len(right[0])))
-    for i in range(0, len(left[0]), step):
-        a, b = np.nonzero(left[1][i : i + step, None] != right[1][None])
-        for j in range(0, len(a), PAIRS):
-            x, y = a[j : j + PAIRS] + i, b[j : j + PAIRS]
-            alike = (left[2][x] == right[2][y]).sum(axis=1) >= AGREE
-            out.append((left[0][x[alike]], right[0][y[alike]]))
-    return _ordered(np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out]))
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
+    out = []
+    band = int(np.flatnonzero(left.bands[0] == key)[0]) if len(left.node) else 0
+    other = np.array(right.root)
+    step = max(1, PAIRS // max(1, len(right.node)))
+    for i in range(0, len(left.node), step):
+        small, large = (f(left.size[i : i + step, None], right.size[None]) for f in (np.minimum, np.maximum))
+        a, b = np.nonzero((np.array(left.root[i : i + step])[:, None] != other[None]) & (small >= at_least * large))
+        same = left.bands[i : i + step][a] == right.bands[b]
+        first = same.argmax(axis=1) == band
+        a, b = a[first], b[first]
+        alike = (left.sketch[i : i + step][a] == right.sketch[b]).sum(axis=1) >= AGREE
+        for x, y in zip((a[alike] + i).tolist(), b[alike].tolist()):
+            p, q = find(left.root[x]), find(right.root[y])
+            if p == q:
+                continue
+            u, v = left.words[x], right.words[y]
+            at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+            common = int((v[at] == u).sum())
+            if common >= at_least * (len(u) + len(v) - common):
+                parent[p] = q
+                out.append((int(left.node[x]), int(right.node[y])))
+    return out
+
+
+def rest(groups: DataFrame, texts: DataFrame, *, shingle: int, at_least: float) -> DataFrame:
+    """Verified links (u, v) of the second round, of groups (node, root, bands, sketch) and texts (node, text)."""
+
+    def packed(batch: list[str]) -> list[list]:
+        return [[np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch]]
 
-def rest(groups: DataFrame) -> DataFrame:
-    """Candidates (u, v) of the second round, of groups (node, root, bands, sketch)."""
     spread = groups.select(F.explode("bands").alias("key"), "node", "root")
-    large = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where((F.col("n") > ALL) & (F.col("low") != F.col("high")))
-    members = spread.join(large.select("key", "n"), "key").join(groups.select("node", "sketch"), "node")
+    large = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low != high")
+    members = checkpointed(spread.join(large.select("key", "n"), "key"))
+    one = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = map_texts(one, packed, [("words", "binary")], keep=["node"]).join(groups.select("node", "sketch", "bands"), "node")
     blocks = F.ceil(F.col("n") / SIDE).cast("int")
-    own = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch")
+    own = members.join(checkpointed(sets), "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sketch", "bands", "words")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None
 
         def flush() -> pa.RecordBatch:
-            side, node, root, sketch = zip(*held)
-            arrays = np.array(node, np.int64), np.array(root, np.int64), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1)
-            side = np.array(side)
-            left, right = (tuple(x[side == s] for x in arrays) for s in (now[1], now[2]))
-            u, v = across(left, right)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            roots: dict[int, int] = {}
+            left, right = (Members([r[1:] for r in held if r[0] == side], roots) for side in now[1:])
+            found = across(left, right, now[0], roots, at_least)
+            u, v = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            for key, i, j, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if now != (key, i, j):
-                    if held:
-                        yield flush()
-                    held, now = [], (key, i, j)
-                held.append(tuple(row))
+            for part in slices(batch, "words"):
+                for key, i, j, *row in zip(*[c.to_pylist() for c in part.columns]):
+                    if now != (key, i, j):
+                        if held:
+                            yield flush()
+                        held, now = [], (key, i, j)
+                    held.append(tuple(row))
         if held:
             yield flush()
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u bigint, v bigint").distinct()
 
 
+def agreeing(found: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Those of found (u, v) that agree in AGREE places; sketched: (node, sketch)."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a", "b"))
+            good = pa.array((a == b).sum(axis=1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("u", "v")], names=["u", "v"])
+
+    side = lambda n, s: sketched.select(F.col("node").alias(n), F.col("sketch").alias(s))
+    return found.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(keep, "u bigint, v bigint")
+
+
 def verified(found: DataFrame, texts: DataFrame, *, shingle: int, at_least: float) -> DataFrame:
     """Those of found (u, v) whose texts (node, text) are alike."""
 
@@ -242,9 +294,6 @@ def verified(found: DataFrame, texts: DataFrame, *, shingle: int, at_least: floa
 def links(texts: DataFrame, distinct: DataFrame, known: DataFrame, *, shingle: int, at_least: float = AT_LEAST) -> DataFrame:
     """Verified links (u, v) that join, together with known (u, v), all nodes that near copies join. texts: (node,
     text); distinct: (node, fp, bands, sketch), a row for each node."""
-    first = checkpointed(verified(checkpointed(pairs(distinct)), texts, shingle=shingle, at_least=at_least))
+    first = checkpointed(verified(checkpointed(agreeing(pairs(distinct), distinct.select("node", "sketch"))), texts, shingle=shingle, at_least=at_least))
     groups = checkpointed(rooted(distinct.select("node", "bands", "sketch"), known.unionByName(first), key="node"))
-    more = checkpointed(rest(groups))
-    if not more.limit(1).count():
-        return first
-    return first.unionByName(checkpointed(verified(more, texts, shingle=shingle, at_least=at_least)))
+    return first.unionByName(checkpointed(rest(groups, texts, shingle=shingle, at_least=at_least)))

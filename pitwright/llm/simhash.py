@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_texts
-from .components import components
+from .components import components, stars
 
 BITS = 64
 SEED = 42
@@ -114,24 +114,6 @@ def replicas(fps: np.ndarray, blocks: int, threshold: int) -> tuple[np.ndarray,
     return np.concatenate(anchors), np.concatenate(rows)
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each node to the least of its component, for links a - b."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = label != np.arange(len(nodes))
-    return nodes[own], nodes[label[own]]
-
-
 def transposed(fps: np.ndarray, blocks: int) -> np.ndarray:
     """The fingerprints with their bits in another order: bit i, i + blocks, i + 2 blocks, ... become neighbours."""
     bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -101,6 +101,16 @@ def test_crowds_are_linked_as_all_pairs_are():
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_of_several_parts(spark, monkeypatch):
+    from pitwright.llm import components as module
+
+    monkeypatch.setattr(module, "PART", 40)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1002, 1001)] + [(0, 2000 + i) for i in range(100)], "u bigint, v bigint").repartition(7)
+    got = {r.node: r.root for r in module.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(301)}, **{2000 + i: 0 for i in range(100)}, 1000: 1000, 1001: 1000, 1002: 1000}
+    assert module.components(edges.limit(0)).count() == 0
+
+
 def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (1002, 1001)], "u bigint, v bigint")
     got = {r.node: r.root for r in components(edges).collect()}
