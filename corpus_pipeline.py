@@ -28,33 +28,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _one_of_each(docs: DataFrame, *, verified: bool) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id (of equal ids, the first text). A document without
-    an id stays only where its group has none with an id. verified: links by exact likeness join groups too."""
+    """Of each group of linked documents the one with the smallest id (of equal ids, the text with the smallest hash). A
+    document without an id stays only where its group has none with an id. verified: links by exact likeness join groups
+    too. Only hashes are linked and grouped; the texts are shuffled once, to where the chosen ones are told."""
     names = docs.columns
-    node, fp, bands, sketch = own = tuple(fresh(docs, c) for c in ("node", "fp", "bands", "sketch"))
+    texts = docs.select("doc_id", "text", nearcopy.node(F.col("text")).alias("node"))
     if verified:
-        marked = checkpointed(nearcopy.sketches(docs, shingle=SHINGLE, keep=names, names=own))
-        kept_of = {fp: "fp", bands: "bands", sketch: "sketch"}
+        marked = nearcopy.sketches(texts, shingle=SHINGLE, keep=["doc_id", "node"])
+        sketched = [F.first(c).alias(c) for c in ("bands", "sketch")]
     else:
-        marked = checkpointed(simhash.fingerprints(docs, shingle=SHINGLE, fp_col=fp).withColumn(node, F.col(fp)))
-        kept_of = {fp: "fp"}
-    distinct = checkpointed(marked.groupBy(F.col(node).alias("node")).agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(n) for c, n in kept_of.items()]))
+        marked = simhash.fingerprints(texts, shingle=SHINGLE, keep=["doc_id", "node"])
+        sketched = []
+    distinct = checkpointed(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), *sketched))
     # Texts of one fingerprint are linked to the least of them, and the links of fingerprints join these.
     least = checkpointed(distinct.groupBy("fp").agg(F.min("node").alias("v")))
-    same = distinct.join(least, "fp").where("node != v").select(F.col("node").alias("u"), "v")
+    same = distinct.select("node", "fp").join(least, "fp").where("node != v").select(F.col("node").alias("u"), "v")
     found = simhash.links(least, threshold=THRESHOLD)
     ends = [least.select(F.col("fp").alias(c), F.col("v").alias(f"{c}_node")) for c in "uv"]
     edges = checkpointed(same.unionByName(found.join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))))
     if verified:
-        edges = edges.unionByName(nearcopy.links(marked.select(F.col(node).alias("node"), "text"), distinct, edges, shingle=SHINGLE))
-    groups = checkpointed(simhash.rooted(distinct.select("node", "first_id"), edges, key="node"))
-    least_id = groups.groupBy("root").agg(F.min("first_id").alias("id"))
-    wanted = groups.join(least_id, "root").select("node", "root", "id").alias("w")
-    # By id too, so that the copies of one text are dealt to many tasks.
-    kept = marked.alias("m").join(wanted, (F.col(f"m.{node}") == F.col("w.node")) & F.col("m.doc_id").eqNullSafe(F.col("w.id")))
-    rest = [c for c in names if c != "text"]
-    first = kept.groupBy("w.root").agg(F.min(F.struct("m.text", *[F.col(f"m.`{c}`") for c in rest])).alias("row"))
-    return first.select(*[F.col("row").getField(c).alias(c) for c in names])
+        edges = edges.unionByName(nearcopy.links(texts.select("node", "text"), distinct, edges, shingle=SHINGLE))
+    groups = simhash.rooted(distinct.select("node", "first_id"), edges, key="node")
+    key, number = fresh(docs, "key"), fresh(docs, "number")
+    # By node and id, so that the copies of one text are dealt to many tasks.
+    best = F.min_by(F.struct("node", F.col("first_id").alias("doc_id")), F.struct(F.col("first_id").isNull(), "first_id", "node"))
+    wanted = groups.groupBy("root").agg(best.alias(key)).select(key)
+    first = W.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
+    kept = docs.withColumn(key, F.struct(nearcopy.node(F.col("text")).alias("node"), "doc_id")).join(wanted, key)
+    return kept.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).select(*names)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
