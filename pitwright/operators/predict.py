@@ -87,3 +87,16 @@ def trimmed(rows: DataFrame, value: str, share: float) -> DataFrame:
     """One row: the mean of the values between the quantiles `share` and 1 - `share`, and their number."""
     cuts = F.broadcast(rows.agg(F.percentile(value, share).alias("lo"), F.percentile(value, 1 - share).alias("hi")))
     return rows.join(cuts).where(F.col(value).between(F.col("lo"), F.col("hi"))).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
+def permutation_test(rows: DataFrame, key: str, x: str, y: str, *, draws: int, seed: int) -> DataFrame:
+    """One row: r_squared of y on x, and p_value, the share of draws, the real one counted, in which the values of x, dealt
+    out anew, fit as well. All draws are one job."""
+    clean = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    many = clean.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    own = W.partitionBy("draw")
+    placed = many.withColumns({"a": F.row_number().over(own.orderBy("k")), "b": F.row_number().over(own.orderBy(uniform(seed, F.col("draw"), F.col("k")), "k"))})
+    drawn = placed.select("draw", F.col("a").alias("r"), "y").join(placed.select("draw", F.col("b").alias("r"), "x"), ["draw", "r"])
+    real = F.broadcast(clean.agg(F.regr_r2("y", "x").alias("r_squared")))  # one row
+    fits = drawn.groupBy("draw").agg(F.regr_r2("y", "x").alias("own")).join(real)
+    return fits.groupBy("r_squared").agg(((F.count_if(F.col("own") >= F.col("r_squared")) + 1) / F.lit(draws + 1.0)).alias("p_value"))

@@ -687,3 +687,17 @@ def a19(spark, sf):
     s = table(spark, sf, "supplier").select((F.col("s_acctbal") > 0).alias("a"), (F.col("s_nationkey") < 12).alias("b"), F.lit("v1").alias("version"))
     out = funnel(studies.pool([c, s], ["version"]), ["corpus"], {"traded": F.col("a"), "kept": F.col("b")})
     return out.withColumns({c: r(c) for c in ("traded_rate", "kept_rate")})
+
+
+@query(
+    "r20_permutation_test",
+    sql(
+        "SELECT round(r2, 6) AS r_squared, round((count(*) FILTER (WHERE own >= r2) + 1) / 41.0::DOUBLE, 6) AS p_value FROM (SELECT regr_r2(y, x) AS r2 FROM pr) JOIN (SELECT a.d, regr_r2(a.y, b.x) AS own FROM pm a JOIN pm b ON a.d = b.d AND a.i = b.j GROUP BY 1) ON true GROUP BY r2",
+        f"{PREDICT}, pm AS (SELECT d, k, x, y, row_number() OVER (PARTITION BY d ORDER BY k) AS i, row_number() OVER (PARTITION BY d ORDER BY (('0x' || substr(sha256('6|' || d || '|' || k), 1, 12))::BIGINT / 281474976710656.0::DOUBLE), k) AS j FROM pr, range(40) t(d))",
+    ),
+)
+def r20_permutations(spark, sf):
+    from pitwright.operators import predict
+
+    out = predict.permutation_test(predict_rows(spark, sf), "k", "x", "y", draws=40, seed=6)
+    return out.select(r("r_squared").alias("r_squared"), r("p_value").alias("p_value"))
