@@ -10,7 +10,8 @@ A store is a folder of shards, each the ids of a range of document keys in ascen
 
 A key is found by one look at the manifest, one hash, one comparison of fingerprints and one read of its ids. Keys are
 integers; null is a key too, the first. Rows of one key are told apart by their number among them (in the order of
-their texts). Shards are written under a name of the attempt and then renamed, so a task that is run again replaces
+the XXH64 of their texts); where they are many, they go on over several shards, and the manifest says how many rows of a
+shard's first key lie in the shards before. Shards are written under a name of the attempt and then renamed, so a task that is run again replaces
 its files by equal ones. A null text has only the end id.
 """
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, require_columns, shared_dir, slices
@@ -230,6 +232,7 @@ class TokenStore:
         uri, shards = self.uri, self.manifest["shards"]
         width = np.dtype(self.manifest["dtype"]).itemsize
         lows = np.array([s["first"] if s["first"] is not None else -(2**63) for s in shards], np.int64)
+        skips = np.array([s["skip"] for s in shards], np.int64)
         base = [s["before"] for s in shards]
         names = [s["name"] for s in shards]
 
@@ -244,23 +247,23 @@ class TokenStore:
             _ENCODERS.clear()  # of a store that this worker has written
             for batch in batches:
                 k, null = _keys(batch.column(0))
-                shard = np.searchsorted(lows, k, "right") - 1
-                shard = np.where(null, 0, np.maximum(shard, 0)) if len(lows) else np.full(len(k), -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shard.astype(np.int64))], names=["key", "shard"])
+                k = np.where(null, -(2**63), k)
+                number = batch.column(1).to_numpy()
+                shard = np.maximum(np.searchsorted(lows, k, "right") - 1, 0) if len(lows) else np.full(len(k), -1)
+                # Of the shards that begin with the key, the last one that begins at or before the number.
+                for row in np.flatnonzero((lows[shard] == k) & (skips[shard] > number)) if len(lows) else ():
+                    first = int(np.searchsorted(lows, k[row], "left"))
+                    shard[row] = max(0, first + int(np.searchsorted(skips[first : shard[row] + 1], number[row], "right")) - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shard.astype(np.int64))], names=["key", "number", "shard"])
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _ENCODERS.clear()
             fs, folder = pafs.FileSystem.from_uri(uri)
-            now, index, file, last = None, None, None, (None, None, 0)
+            now, index, file = None, None, None
             for batch in batches:
                 k, null = _keys(batch.column(0))
-                shard = batch.column(1).to_numpy()
-                number = _occurrences(k, null)
-                if len(k) and last[0] == (None if null[0] else k[0]) and last[1] == shard[0]:
-                    same = np.logical_and.accumulate((k == k[0]) & (null == null[0]))
-                    number = number + np.where(same, last[2] + 1, 0)
-                if len(k):
-                    last = (None if null[-1] else k[-1], shard[-1], int(number[-1]))
+                number, shard = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                own = number - np.where(np.where(null, -(2**63), k) == lows[np.maximum(shard, 0)], skips[np.maximum(shard, 0)], 0) if len(lows) else number
                 for s in np.unique(shard).tolist():
                     rows = np.flatnonzero(shard == s)
                     if s < 0:
@@ -272,7 +275,7 @@ class TokenStore:
                             with fs.open_input_file(f"{folder}/{names[s]}.idx") as f:
                                 index = ShardIndex(f.read())
                             now, file = s, fs.open_input_file(f"{folder}/{names[s]}.bin")
-                        found, at, n = index.find(k[rows], null[rows], number[rows])
+                        found, at, n = index.find(k[rows], null[rows], own[rows])
                         starts = [base[s] + a if ok else None for ok, a in zip(found.tolist(), at.tolist())]
                         ids = _read_ranges(file, at * width, n * width, found)
                     yield pa.RecordBatch.from_arrays(
@@ -281,7 +284,9 @@ class TokenStore:
             if file is not None:
                 file.close()
 
-        routed = keys.select(F.col(key_col).cast("bigint").alias("key")).mapInArrow(route, "key bigint, shard bigint")
+        plain = keys.select(F.col(key_col).cast("bigint").alias("key"))
+        numbered = plain.withColumn("number", (F.row_number().over(W.partitionBy("key").orderBy("key")) - 1).cast("bigint"))
+        routed = numbered.mapInArrow(route, "key bigint, number bigint, shard bigint")
         # A number of partitions of its own: by the small keys alone, all shards would be put into few tasks.
         placed = routed.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "key")
         return placed.mapInArrow(fetch, ", ".join(["key bigint, number bigint, start bigint", *[f"{c} {COLUMNS[c]}" for c in columns]]))
@@ -327,18 +332,24 @@ def write_store(df: DataFrame, tokenizer_path: str, *, end_id: int, uri: str | N
         for kind in ("bin", "idx"):
             _put(fs, f"{folder}/{name}.{kind}", f"{own}.{kind}")
         ends = [None if nulls[0] else int(keys[0])], [None if nulls[-1] else int(keys[-1])]
+        of_last = int(((keys == keys[-1]) & (nulls == nulls[-1])).sum())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([name]), pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([str(encoder.dtype.str)])],
-            names=["name", "first", "last", "docs", "ids", "dtype"],
+            [pa.array([name]), pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([of_last], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([str(encoder.dtype.str)])],
+            names=["name", "first", "last", "docs", "of_last", "ids", "dtype"],
         )
 
-    rows = df.select(F.col(key_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(shards, F.asc_nulls_first("key")).sortWithinPartitions(F.asc_nulls_first("key"), "text")
-    done = checkpointed(ordered.mapInArrow(write, "name string, first bigint, last bigint, docs bigint, ids bigint, dtype string"))
-    lines = sorted((r.asDict() for r in done.collect()), key=lambda r: (r["first"] is not None, r["first"] or 0))
-    before, manifest = 0, {"dtype": lines[0]["dtype"] if lines else "<u2", "end_id": end_id, "shards": []}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(key_col).cast("bigint").alias("key"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    ordered = rows.repartitionByRange(shards, F.asc_nulls_first("key"), "hash").sortWithinPartitions(F.asc_nulls_first("key"), "hash")
+    done = checkpointed(ordered.mapInArrow(write, "name string, first bigint, last bigint, docs bigint, of_last bigint, ids bigint, dtype string"))
+    lines = sorted((r.asDict() for r in done.collect()), key=lambda r: r["name"])  # ranges in order
+    before, manifest, last = 0, {"dtype": lines[0]["dtype"] if lines else "<u2", "end_id": end_id, "shards": []}, None
     for r in lines:
-        manifest["shards"].append({k: r[k] for k in ("name", "first", "last", "docs", "ids")} | {"before": before})
+        skip = 0
+        if last is not None and last["last"] == r["first"]:
+            skip = last["skip"] + last["docs"] if last["first"] == last["last"] else last["of_last"]
+        last = {k: r[k] for k in ("name", "first", "last", "docs", "of_last", "ids")} | {"before": before, "skip": skip}
+        manifest["shards"].append(last)
         before += r["ids"]
     fs, folder = pafs.FileSystem.from_uri(uri)
     fs.create_dir(folder, recursive=True)

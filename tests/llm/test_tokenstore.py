@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
 from pitwright.llm import queries, tokenstore
@@ -30,8 +31,29 @@ def test_words_equal_whole_texts():
     assert [np.frombuffer(p, encoder.dtype).tolist() + [2] for p in encoder.encode(texts)] == plain_ids(texts)
 
 
+def in_order(rows):
+    """By key, null first, and the hash of the text."""
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, int(np.uint64(xxhash.xxh64_intdigest(r[1].encode(), 42)).view(np.int64))))
+
+
+def test_a_key_over_several_shards(spark):
+    rows = [(5, f"text {i}") for i in range(60)] + [(None, f"none {i}") for i in range(40)] + [(i, "w") for i in range(10)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    store = tokenstore.write_store(table, PATH, end_id=2, shards=9)
+    assert sum(s["skip"] > 0 for s in store.manifest["shards"]) >= 3
+    order = in_order(rows)
+    want, start, seen = {}, 0, {}
+    for (d, _), ids in zip(order, plain_ids([t for _, t in order])):
+        seen[d] = seen.get(d, -1) + 1
+        want[d, seen[d]] = (start, ids)
+        start += len(ids)
+    got = {(r.key, r.number): (r.start, np.frombuffer(r.ids, store.manifest["dtype"]).tolist()) for r in store.read(table).collect()}
+    assert got == want
+    assert store.read(spark.createDataFrame([(5,)] * 62, "doc_id bigint")).where("start is null").count() == 1
+
+
 def test_odd_rows_and_strangers(spark, odd, empty):
-    rows = sorted(((r.doc_id, r.text or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    rows = in_order((r.doc_id, r.text or "") for r in odd.collect())
     want, start, seen = [], 0, {}
     for (d, _), ids in zip(rows, plain_ids([t for _, t in rows])):
         seen[d] = seen.get(d, -1) + 1
