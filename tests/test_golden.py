@@ -1,4 +1,7 @@
-"""Values known from formulas alone, guards, and causality."""
+"""Values known from formulas alone, guards, and causality.
+
+The expected figures of charges, Sharpe statistics, back-adjustment and forward returns are fixed values: worked examples
+that any right implementation must give."""
 
 import datetime as dt
 
