@@ -53,6 +53,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one or two numbers up to which a table is broadcast.
+SMALL = 500_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """df, a table of one or two numbers a row that is written already: broadcast where it has SMALL rows at most, which
+    are counted first; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of the batch of about SLICE_BYTES of that column, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

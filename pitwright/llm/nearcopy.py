@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts, slices
+from .common import checkpointed, map_texts, slices, small_or_shuffled
 from .simhash import fingerprint_of, rooted, shingle_hashes
 
 BANDS = 24
@@ -233,7 +233,7 @@ def rest(groups: DataFrame, texts: DataFrame, *, shingle: int, at_least: float)
     spread = groups.select(F.explode("bands").alias("key"), "node", "root")
     large = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low != high")
     members = checkpointed(spread.join(large.select("key", "n"), "key"))
-    one = texts.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    one = texts.join(small_or_shuffled(checkpointed(members.select("node").distinct())), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     sets = map_texts(one, packed, [("words", "binary")], keep=["node"]).join(groups.select("node", "sketch", "bands"), "node")
     blocks = F.ceil(F.col("n") / SIDE).cast("int")
     own = members.join(checkpointed(sets), "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -283,8 +283,8 @@ def verified(found: DataFrame, texts: DataFrame, *, shingle: int, at_least: floa
     def sets(batch: list[str]) -> list[list]:
         return [[np.unique(shingle_hashes(t, shingle)).view(np.int64).tolist() for t in batch]]
 
-    ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    one = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    ends = checkpointed(found.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    one = texts.join(small_or_shuffled(ends), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
     whole = checkpointed(map_texts(one, sets, [("words", "array<bigint>")], keep=["node"]))
     both = found.join(whole.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
