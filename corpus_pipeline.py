@@ -50,11 +50,13 @@ def _one_of_each(docs: DataFrame, *, verified: bool) -> DataFrame:
         edges = edges.unionByName(nearcopy.links(texts.select("node", "text"), distinct, edges, shingle=SHINGLE))
     groups = simhash.rooted(distinct.select("node", "first_id"), edges, key="node")
     key, number = fresh(docs, "key"), fresh(docs, "number")
+    # Of one type on both sides: where only nullability differs, a cast would have the texts shuffled again for the join.
+    kind = f"struct<node:bigint,doc_id:{docs.schema['doc_id'].dataType.simpleString()}>"
     # By node and id, so that the copies of one text are dealt to many tasks.
     best = F.min_by(F.struct("node", F.col("first_id").alias("doc_id")), F.struct(F.col("first_id").isNull(), "first_id", "node"))
-    wanted = groups.groupBy("root").agg(best.alias(key)).select(key)
+    wanted = groups.groupBy("root").agg(best.alias(key)).select(F.col(key).cast(kind).alias(key))
     first = W.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    kept = docs.withColumn(key, F.struct(nearcopy.node(F.col("text")).alias("node"), "doc_id")).join(wanted, key)
+    kept = docs.withColumn(key, F.struct(nearcopy.node(F.col("text")).alias("node"), "doc_id").cast(kind)).join(wanted, key)
     return kept.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).select(*names)
 
 
@@ -81,9 +83,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the mix takes of them."""
     names = docs.columns
     key, number, share = (fresh(docs, c) for c in ("key", "number", "share"))
-    taken = mixing.mix_documents(docs).select(F.struct("doc_id", "salt", "source").alias(key), "copies")
+    kind = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},salt:bigint,source:string>"  # see _one_of_each
+    taken = mixing.mix_documents(docs).select(F.struct("doc_id", "salt", "source").cast(kind).alias(key), "copies")
     wanted = taken.groupBy(key).agg(F.struct(F.sum("copies").alias("copies"), F.count("*").alias("rows")).alias(share)).where(F.col(share)["copies"] > 0)
-    placed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("salt"), "source")).withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key)))
+    placed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("salt"), "source").cast(kind)).withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key)))
     copies, rows = F.col(share)["copies"], F.col(share)["rows"]
     times = F.expr(f"`{share}`.copies div `{share}`.rows") + F.when(F.col(number) <= copies % rows, 1).otherwise(0)
     found = placed.join(wanted, key).withColumn(share, times).where(F.col(share) > 0)
