@@ -2,8 +2,8 @@
 
 A text's sentences are normalised and looked up in a table of known licence sentences; the identifiers that are found,
 in order of the text, are matched against ordered rules, each a sequence of identifiers that must follow one another
-(other known sentences may stand between only where a rule says so). All is DataFrame expressions on one row, without
-a shuffle.
+(other known sentences may stand between only where a rule says so). Every sentence of every text is normalised and
+looked up; none is passed over by its words. All is DataFrame expressions on one row, without a shuffle.
 
 A text is read twice. By lines: sentences end at line breaks too, so notices on a line of their own are found. By
 paragraphs: comment signs are taken off each line and the lines between two blank ones are joined, so sentences that
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby, pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ TEMPLATES = (
 
 
 def plain_normalise(sentence: str) -> str:
-    """normalise() for the table, in Python."""
+    """words() and worded() of one sentence, for the table, in Python."""
     s = re.sub(r"[^a-z0-9.+\-]+", " ", sentence.lower())
     s = re.sub(r"(^| )[.\-]+", r"\1", s)
     s = re.sub(r"[.\-]+( |$)", r"\1", s)
@@ -201,9 +202,6 @@ def _tables() -> tuple[dict[str, str], tuple[LicenseRule, ...]]:
 
 SENTENCES, RULES = _tables()
 
-#: A text without any of these words has no known sentence; nor has a sentence without any of the second ones.
-HINTS = r"(?i)licen[sc]e|copyright|permission|redistribut|rights reserved|spdx|public domain|free software|CC0"
-SENTENCE_HINTS = HINTS + r"|specific prior|version|waived|warrant|liab|advertising|free to copy"
 SPDX = "spdx-license-identifier "
 END = "\x01"
 MARK = re.compile(r"[.+\-]")
@@ -215,29 +213,44 @@ AFTER = r"[ \t]*(?:\*+/|-->)?[ \t]*(\n|\z)"
 SHORT = r"(?i)\b(inc|ltd|corp|co|llc|v)\.([ \t\n])"
 
 
+#: AFTER and SHORT for Java, which would try each place of a long run of blanks or stars.
+AFTER_RUNS = r"(?<![ \t])[ \t]*+(?:(?:(?<!\*)\*++/|-->)[ \t]*+)?(\n|\z)"
+SHORT_DOT = r"\.(?=[ \t\n])(?<=(?i:\b(?:inc|ltd|corp|co|llc|v))\.)"
+#: All characters but a-z, digits, dot, plus sign, hyphen, blank, line feed and END. Java is slow with [^...].
+OTHERS = r"[\x00\x02-\x09\x0B-\x1F!-*,/:-`{-\x{10FFFF}]+"
+#: A run of blanks, dots and hyphens with a blank in it is one blank; a single blank is left.
+BLANKS = r"(?<![.\-])(?:[.\-]++ [ .\-]*+| [ .\-]++)"
+#: Where any of the TEMPLATES fits. What none of them fits, they leave as it is.
+ANY = "^(?:" + "|".join(p.removeprefix("^") for p, _ in TEMPLATES) + ")"
+
+
 def clean(text: Column) -> Column:
     """Lines without comment signs, the white space around them, and the dots of abbreviations."""
     lines = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, BEFORE, "$1"), AFTER, "$1"), SHORT, "$1$2")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, BEFORE, "$1"), AFTER_RUNS, "$1"), SHORT_DOT, "")
+
+
+def words(cleaned: Column) -> Column:
+    """The cleaned text in lower case with END where a sentence ends in both readings, and blanks for other signs. Done
+    once for the whole text; what is left to do for a sentence alone is worded()."""
+    ended = F.regexp_replace(cleaned, r"[.!?](?:[ \t]+|\n+)|:\n+", "." + END)
+    return F.regexp_replace(F.lower(ended), OTHERS, " ")
 
 
-def by_lines(cleaned: Column) -> Column:
-    return F.split(F.regexp_replace(cleaned, r"([.!?])[ \t]+", "$1\n"), r"\n+")
+def by_lines(words: Column) -> Column:
+    return F.split(F.regexp_replace(words, BLANKS, " "), f"[\n{END}]+")
 
 
-def by_paragraphs(cleaned: Column) -> Column:
-    blocks = F.regexp_replace(F.regexp_replace(cleaned, r":\n", ":" + END), r"\n\n+", END)
+def by_paragraphs(words: Column) -> Column:
+    blocks = F.regexp_replace(words, r"\n\n+", END)
     joined = F.replace(F.replace(blocks, F.lit("-\n"), F.lit("-")), F.lit("\n"), F.lit(" "))
-    return F.split(F.regexp_replace(joined, r"([.!?])[ \t]+", "$1" + END), END + "+")
+    return F.split(F.regexp_replace(joined, BLANKS, " "), END + "+")
 
 
-def normalise(sentence: Column) -> Column:
-    s = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+\-]+", " ")
-    s = F.regexp_replace(F.regexp_replace(s, r"(^| )[.\-]+", "$1"), r"[.\-]+( |\z)", "$1")
-    s = F.trim(F.regexp_replace(s, r" +", " "))
+def worded(sentence: Column) -> Column:
     for pattern, to in TEMPLATES:
-        s = F.regexp_replace(s, pattern, to)
-    return s
+        sentence = F.regexp_replace(sentence, pattern, to)
+    return sentence
 
 
 def _parts(sentence: Column) -> Column:
@@ -247,13 +260,24 @@ def _parts(sentence: Column) -> Column:
 
 
 def pattern_of(sequence: tuple[str, ...]) -> str:
-    """For identifiers joined as |a|b|c|."""
+    """For identifiers joined as |a|b|c|, in the SQL. Java recurses for each identifier that `...` passes over."""
     out = ""
     for s in sequence:
         out += r"(?:[^|]+\|)*?" if s == "..." else MARK.sub(r"\\\g<0>", s) + r"\|"
     return r"\|" + out
 
 
+def _follow(ids: Column, sequence: tuple[str, ...]) -> Column:
+    """Whether the identifiers joined as |a|b|c| hold the sequence. The first place of each run is taken: if a later one
+    lets the rest follow, so does the first."""
+    runs = [f"|{'|'.join(run)}|" for keep, run in groupby(sequence, lambda s: s != "...") if keep]
+    at = F.position(F.lit(runs[0]), ids)
+    for last, run in pairwise(runs):
+        # The sign that ends one run begins the next.
+        at = F.when(at > 0, F.position(F.lit(run), ids, at + len(last) - 1)).otherwise(0)
+    return at > 0
+
+
 def scan(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """df with paragraph_sentences and line_sentences (lists of place from 0 and identifier, in order, of the two
     readings), licenses (distinct, sorted) and rules (numbers of the matched rules, in order). Columns of df of these
@@ -261,26 +285,28 @@ def scan(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     kind = "array<struct<place:int,id:string>>"
-    likely = fresh(df, "cleaned")
+    read = fresh(df, "read")
     ids, matched = fresh(df, "ids"), fresh(df, "matched")
 
     def named(sentences: Column) -> Column:
-        placed = F.filter(F.transform(sentences, lambda s, i: F.struct(i.alias("place"), s.alias("s"))), lambda x: x["s"].rlike(SENTENCE_HINTS))
-        # The inner lambda sees a sentence that is normalised once.
-        normal = F.transform(placed, lambda x: F.struct(x["place"].alias("place"), normalise(x["s"]).alias("s")))
+        placed = F.transform(sentences, lambda s, i: F.struct(i.alias("place"), F.btrim(s, F.lit(" .-")).alias("s")))
+        # The table's search is slow: it is left to sentences that are in it, or may be when a template is applied.
+        near = F.filter(placed, lambda x: x["s"].isin(list(SENTENCES)) | F.startswith(x["s"], F.lit(SPDX)) | x["s"].rlike(ANY))
+        # The inner lambda sees a sentence that is worded once.
+        normal = F.transform(near, lambda x: F.struct(x["place"].alias("place"), worded(x["s"]).alias("s")))
         parts = F.transform(normal, lambda x: F.transform(_parts(x["s"]), lambda p: F.struct(x["place"].alias("place"), F.try_element_at(table, p).alias("id"))))
-        return F.when(F.col(likely).isNotNull(), F.filter(F.flatten(parts), lambda x: x["id"].isNotNull()).cast(kind)).otherwise(F.array().cast(kind))
-
-    out = df.withColumn(likely, F.when(text.rlike(HINTS), clean(text)))
-    out = out.withColumn("paragraph_sentences", named(by_paragraphs(F.col(likely)))).withColumn("line_sentences", named(by_lines(F.col(likely))))
-    # Of both readings: |a|b||c|. No rule's sequence crosses the empty identifier between them.
-    out = out.withColumn(ids, F.concat(F.lit("|"), F.array_join(F.col("paragraph_sentences.id"), "|"), F.lit("||"), F.array_join(F.col("line_sentences.id"), "|"), F.lit("|")))
-    # One pattern for each rule would be tried on every text; a text with known sentences is rare.
-    tried = F.array(*[F.when(F.col(ids).rlike(pattern_of(r.sequence)), F.lit(n)) for n, r in enumerate(RULES)])
+        return F.filter(F.flatten(parts), lambda x: x["id"].isNotNull()).cast(kind)
+
+    out = df.withColumn(read, words(clean(text)))
+    out = out.withColumn("paragraph_sentences", named(by_paragraphs(F.col(read)))).withColumn("line_sentences", named(by_lines(F.col(read))))
+    # Of each reading: |a|b|. A rule's sequence is looked for in one reading at a time.
+    out = out.withColumn(ids, F.transform(F.array("paragraph_sentences.id", "line_sentences.id"), lambda r: F.concat(F.lit("|"), F.array_join(r, "|"), F.lit("|"))))
+    # A text with known sentences is rare; only there are the rules tried.
+    tried = F.array(*[F.when(F.exists(F.col(ids), lambda r: _follow(r, rule.sequence)), F.lit(n)) for n, rule in enumerate(RULES)])
     none = F.array().cast("array<int>")
-    out = out.withColumn(matched, F.when(F.col(ids) != "||||", F.filter(tried, lambda x: x.isNotNull())).otherwise(none))
+    out = out.withColumn(matched, F.when(F.exists(F.col(ids), lambda r: r != "||"), F.filter(tried, lambda x: x.isNotNull())).otherwise(none))
     names = F.transform(F.col(matched), lambda n: F.element_at(F.array(*[F.lit(r.license) for r in RULES]), n + 1))
     gone = F.flatten(F.transform(F.col(matched), lambda n: F.element_at(F.array(*[F.array(*[F.lit(x) for x in r.instead]).cast("array<string>") for r in RULES]), n + 1)))
     left = F.array_except(names, F.array_remove(gone, "*"))
     alone = F.array_except(left, F.array(*[F.lit(r.license) for r in RULES if r.instead == ("*",)]))
-    return out.withColumn("licenses", F.array_sort(F.when(F.size(alone) > 0, alone).otherwise(left))).withColumn("rules", F.col(matched)).drop(likely, ids, matched)
+    return out.withColumn("licenses", F.array_sort(F.when(F.size(alone) > 0, alone).otherwise(left))).withColumn("rules", F.col(matched)).drop(read, ids, matched)

@@ -44,13 +44,13 @@ def license_sql() -> str:
 WITH known(s, id) AS (VALUES {table}),
 rules(n, license, pattern) AS (VALUES {rules}),
 instead(n, license) AS (VALUES {instead}),
-likely AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE regexp_matches(text, {_text(license.HINTS)})),
+likely AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
 cleaned AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, {_text(license.BEFORE)}, '\1', 'g'), {_text(license.AFTER)}, '\1', 'g'), {_text(license.SHORT)}, '\1\2', 'g') AS t FROM likely),
 readings AS (
   SELECT doc_id, 1 AS reading, {ends.format(r"replace(replace(regexp_replace(regexp_replace(t, ':\n', ':' || chr(1), 'g'), '\n\n+', chr(1), 'g'), '-' || chr(10), '-'), chr(10), ' ')")} AS t FROM cleaned
   UNION ALL SELECT doc_id, 2, replace({ends.format("t")}, chr(10), chr(1)) FROM cleaned),
 sentences AS (SELECT doc_id, reading, unnest(string_split_regex(t, '\x01+')) AS s, generate_subscripts(string_split_regex(t, '\x01+'), 1) AS place FROM readings),
-normal AS (SELECT doc_id, reading, place, {_normalised("s")} AS s FROM sentences WHERE regexp_matches(s, {_text(license.SENTENCE_HINTS)})),
+normal AS (SELECT doc_id, reading, place, {_normalised("s")} AS s FROM sentences),
 parts AS (
   SELECT doc_id, reading, place, 1 AS part, s FROM normal WHERE NOT starts_with(s, {_text(license.SPDX)})
   UNION ALL SELECT doc_id, reading, place, unnest(range(1, len(p) + 1)), {_text(license.SPDX)} || unnest(p) FROM (SELECT *, string_split_regex(regexp_replace(substr(s, {start}), ' with [^ ]+', '', 'g'), ' (?:or|and) ') AS p FROM normal WHERE starts_with(s, {_text(license.SPDX)}))),

@@ -158,3 +158,41 @@ def test_odd_rows(spark, odd, empty):
     clash = spark.createDataFrame([("Released under the MIT License.", 1, 2, 3, 4)], "text string, __ids int, __MATCHED int, __cleaned int, rules int")
     [row] = license.scan(clash).collect()
     assert (row["__ids"], row["__MATCHED"], row["__cleaned"], row.licenses) == (1, 2, 3, ["mit"]) and row.rules != 4
+
+
+def test_every_sentence_of_the_table_is_found(spark):
+    found = scanned(spark, list(license.SENTENCES))
+    assert len(found) == len(license.SENTENCES)
+    for text, _, whole in found:
+        own = license.SENTENCES[text]
+        assert whole == plain_scan(text) and whole[1] == whole[2] == own, text
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Released under MIT.", ["mit"]),
+        ("x y z. This library is distributed under GPLv3. x", ["gpl-3.0"]),
+        ("Some words.\n# Published under CC BY 4.0.\nx", ["cc-by-4.0"]),
+        ("/* This is free and unencumbered software released into the public\n * domain. */", ["unlicense"]),
+        ("All rights\nreserved.", ["proprietary"]),
+        ("Released under the beautiful MIT.", []),
+    ],
+)
+def test_notices_without_the_word_licence(spark, text, want):
+    [(_, licenses, whole)] = scanned(spark, [text])
+    assert licenses == want and whole == plain_scan(text)
+
+
+def test_long_runs(spark):
+    header = APACHE.split(" You may obtain")[0]
+    texts = [f"Released under MIT.\n{run * 1_000_000}y" for run in (" ", "*", ".", "-", "word ")] + [(header + "\n\n") * 20_000, (header + "\n\n") * 20_000 + "You may obtain a copy of the License at:\n"]
+    assert [licenses for _, licenses, _ in scanned(spark, texts)] == [["mit"]] * 5 + [["apache-2.0"]] * 2
+
+
+def test_sequences_with_others_between(spark):
+    [a, b] = [s for s, i in license.SENTENCES.items() if i in ("zlib-warranty", "zlib-grant")]
+    other = "Version 2.0, January 2004"
+    texts = ["\n\n".join(t) for t in ((a, b), (a, other, other, b), (b, other, a), (b, a, other, a, b), (a, other), (b, b))]
+    for (text, _, whole), zlib in zip(scanned(spark, texts), (True, True, False, True, False, False)):
+        assert whole == plain_scan(text) and (whole[0] == "zlib") == zlib, text
